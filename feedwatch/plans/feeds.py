@@ -9,7 +9,7 @@ from ..functions import formats
 from ..operators import ingest as I
 from ..operators import sites as SITE
 from ..sources import derived, tables
-from ..sources.schemas import POLL_KEYS
+from ..sources.schemas import LISTING, POLL_KEYS
 from ..streaming.ingest import PostStore, start_ingest
 from . import base_sql as B
 
@@ -270,11 +270,14 @@ def _streamed(spark, sf_dir) -> PostStore:
     store.create(derived.feeds(spark, sf_dir))
     metadata = derived.posts(spark, sf_dir)
     listing = derived.listing(spark, sf_dir).where(F.col("page") < I.MAX_PAGES)
-    rounds = [r[0] for r in listing.select("poll_id").distinct().orderBy("poll_id").collect()]
-    landing = f"{base}/landing"
-    for poll_round in rounds:
-        landed = listing.where(F.col("poll_id") == poll_round).repartition(*POLL_KEYS)
-        landed.write.mode("append").parquet(landing)
+    staged, landing = f"{base}/staged", f"{base}/landing"
+    # Whole polls per file, one folder per round.
+    listing.repartition(*POLL_KEYS).write.partitionBy("poll_id").parquet(staged)
+    staged_rows = spark.read.schema(LISTING).parquet(staged)
+    rounds = staged_rows.select("poll_id").distinct().orderBy("poll_id").collect()
+    for (poll_round,) in rounds:
+        landed = staged_rows.where(F.col("poll_id") == poll_round)
+        landed.select(*LISTING.fieldNames()).write.mode("append").parquet(landing)
         stream = tables.stream_listing(spark, landing, files_per_trigger=1_000_000)
         start_ingest(store, stream, metadata, polled_at=_clock).awaitTermination()
     _STREAMS[key] = store

@@ -133,13 +133,13 @@ def html_text(spark, sf_dir) -> DataFrame:
 
 
 def page_tokens(spark, sf_dir) -> DataFrame:
-    pages = derived.page_posts(spark, sf_dir).repartition(F.xxhash64("post_id"))
+    pages = features.spread(derived.page_posts(spark, sf_dir))
     tokens = text.description_tokens(F.col("description"))
     return pages.select("post_id", F.array_join(tokens, " ").alias("tokens"))
 
 
 def tokens(spark, sf_dir) -> DataFrame:
-    posts = derived.posts(spark, sf_dir).repartition(F.xxhash64("post_id"))
+    posts = features.spread(derived.posts(spark, sf_dir))
     return posts.select(
         "post_id",
         F.array_join(text.title_tokens(F.col("title")), " ").alias("title_tokens"),

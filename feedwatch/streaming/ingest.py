@@ -64,11 +64,11 @@ def ingest_batch(
 ) -> None:
     """One round of polls: everything the push path does up to the notifier."""
     parsed = I.parse_listing(listing).persist(StorageLevel.MEMORY_AND_DISK)
-    enriched = None
+    marks = enriched = None
     try:
         usable = parsed.where(F.col("published").isNotNull())
         feeds = store.feeds(batch_id - 1)
-        marks = I.poll_marks(usable, feeds, max_pages)
+        marks = I.poll_marks(usable, feeds, max_pages).persist(StorageLevel.MEMORY_AND_DISK)
         new = I.new_posts(usable, marks, max_pages)
         # Read twice below (messages and posts): join the metadata once.
         enriched = I.override_new_feeds(I.enrich(new, metadata)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -86,9 +86,9 @@ def ingest_batch(
         write_batch(parsed.where(F.col("published").isNull()), store.quarantine_path, batch_id)
         write_batch(I.advance_feeds(feeds, marks, polled_at), store.feeds_path, batch_id)
     finally:
-        parsed.unpersist()
-        if enriched is not None:
-            enriched.unpersist()
+        for cached in (parsed, marks, enriched):
+            if cached is not None:
+                cached.unpersist()
 
 
 def start_ingest(
