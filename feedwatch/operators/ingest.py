@@ -143,14 +143,27 @@ def one_per_poll(new: DataFrame) -> DataFrame:
     )
 
 
-def enrich(new: DataFrame, metadata: DataFrame) -> DataFrame:
-    """New posts with their metadata; ids without metadata vanish.
+def known_posts(new: DataFrame, metadata: DataFrame) -> DataFrame:
+    """New posts that have metadata, once per poll, without the metadata's wide columns.
+
+    Overrides, messages and duplicate checks need no text, so it is attached last, to
+    the rows that are stored.
+    """
+    return one_per_poll(new).join(metadata.select("post_id"), "post_id", "left_semi")
+
 
-    ``metadata`` has one row per post. Both sides shuffle on ``post_id``; a post that
-    many feeds list is split by the adaptive skew join.
+def attach_metadata(posts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Posts with their metadata, inner; ``metadata`` has one row per post.
+
+    Both sides shuffle on ``post_id``; a post that many feeds list is split by the
+    adaptive skew join.
     """
-    details = metadata.drop("url", "notify", "published_time", "site")
-    return one_per_poll(new).join(details, "post_id")
+    return posts.join(metadata.drop("url", "notify", "published_time", "site"), "post_id")
+
+
+def enrich(new: DataFrame, metadata: DataFrame) -> DataFrame:
+    """New posts, once per poll, with their metadata; ids without metadata vanish."""
+    return attach_metadata(one_per_poll(new), metadata)
 
 
 def missing_metadata(new: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -109,15 +109,18 @@ def missing_metadata(spark, sf_dir) -> DataFrame:
 
 
 def new_feed_override(spark, sf_dir) -> DataFrame:
-    overridden = I.override_new_feeds(_enriched(spark, sf_dir))
+    known = I.known_posts(_accepted(spark, sf_dir), derived.posts(spark, sf_dir))
+    overridden = I.override_new_feeds(known)
     return overridden.select("feed_type", "query", "poll_id", "post_id", "set_notify")
 
 
 def insert_if_absent(spark, sf_dir) -> DataFrame:
     """New posts of all polls against a store that already holds the labelled posts."""
-    stored = derived.posts(spark, sf_dir).where(F.col("notify").isNotNull())
-    batch = _enriched(spark, sf_dir)
-    inserted = I.insert_if_absent(batch, stored, ["poll_id", "feed_type", "query", "at"])
+    posts = derived.posts(spark, sf_dir)
+    stored = posts.where(F.col("notify").isNotNull())
+    known = I.known_posts(_accepted(spark, sf_dir), posts)
+    first = I.insert_if_absent(known, stored, ["poll_id", "feed_type", "query", "at"])
+    inserted = I.attach_metadata(first, posts)
     return inserted.select("post_id", "url", "title", "published")
 
 

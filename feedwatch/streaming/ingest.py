@@ -18,7 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
 from ..operators import ingest as I
-from ..operators import routing
 from ..operators.sites import unique_feeds
 from ..sources import schemas as S
 from ..sources.tables import read_batches, write_batch
@@ -64,29 +63,26 @@ def ingest_batch(
 ) -> None:
     """One round of polls: everything the push path does up to the notifier."""
     parsed = I.parse_listing(listing).persist(StorageLevel.MEMORY_AND_DISK)
-    marks = enriched = None
+    marks = known = None
     try:
         usable = parsed.where(F.col("published").isNotNull())
         feeds = store.feeds(batch_id - 1)
         marks = I.poll_marks(usable, feeds, max_pages).persist(StorageLevel.MEMORY_AND_DISK)
         new = I.new_posts(usable, marks, max_pages)
-        # Read twice below (messages and posts): join the metadata once.
-        enriched = I.override_new_feeds(I.enrich(new, metadata)).persist(StorageLevel.MEMORY_AND_DISK)
-        messages = enriched.select(
+        # Read twice below, for messages and for posts.
+        known = I.override_new_feeds(I.known_posts(new, metadata)).persist(StorageLevel.MEMORY_AND_DISK)
+        messages = known.select(
             "site", "post_id", "set_notify", F.lit(False).alias("skip_write"), "url"
         )
-        posts = enriched.withColumn("published_time", F.col("published"))
-        inserted = I.insert_if_absent(
-            routing.to_write(posts.withColumn("skip_write", F.lit(False))),
-            store.posts(before=batch_id),
-            WRITE_ORDER,
-        ).select(*STORED_POST.fieldNames())
+        first = I.insert_if_absent(known, store.posts(before=batch_id), WRITE_ORDER)
+        inserted = I.attach_metadata(first, metadata).withColumn("published_time", F.col("published"))
+        inserted = inserted.select(*STORED_POST.fieldNames())
         write_batch(inserted, store.posts_path, batch_id)
         write_batch(messages, store.messages_path, batch_id)
         write_batch(parsed.where(F.col("published").isNull()), store.quarantine_path, batch_id)
         write_batch(I.advance_feeds(feeds, marks, polled_at), store.feeds_path, batch_id)
     finally:
-        for cached in (parsed, marks, enriched):
+        for cached in (parsed, marks, known):
             if cached is not None:
                 cached.unpersist()
 
