@@ -27,7 +27,7 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 def two_decimals(value: Column) -> Column:
     """``%.2f`` with ties to even, as C and Python round values that are exact in binary."""
-    return F.format_string("%.2f", F.bround(value, 2))
+    return F.when(value.isNotNull(), F.format_string("%.2f", F.bround(value, 2)))
 
 
 def percent_text(percent: Column) -> Column:
