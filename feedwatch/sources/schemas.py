@@ -80,7 +80,7 @@ FEEDBACK = T.StructType(
     ]
 )
 
-# Replies of the upstream site and of the classifier, as JSON text.
+# Replies of the upstream site and of the classifier, as JSON text. Field names.
 LISTING_REPLY = T.StructType(
     [
         T.StructField(
