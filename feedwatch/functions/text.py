@@ -9,14 +9,10 @@ is limited to the lengths the standards allow, which keeps the scan linear.
 from __future__ import annotations
 
 import functools
-import glob
-import os
 import unicodedata
-import zipfile
 from collections.abc import Callable
 from html.entities import name2codepoint
 
-import pyspark
 from pyspark.sql import Column, functions as F
 
 NUMBER_TOKEN = "$NUM$"
@@ -80,13 +76,25 @@ def entity_map() -> dict[str, str]:
     return chars
 
 
-@functools.lru_cache(maxsize=None)
+# The English stop words of Spark's StopWordsRemover, in its order.
+ENGLISH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+hers herself it its itself they them their theirs themselves what which who whom this that these
+those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after
+above below to from up down in out on off over under again further then once here there when where
+why how all any both each few more most other some such no nor not only own same so than too very s
+t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+would
+"""
+
+
 def default_stop_words() -> tuple[str, ...]:
-    """Spark's English stop words, read from the MLlib jar so that no session is needed."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-    return tuple(sorted({w.strip().lower() for w in words if w.strip()}))
+    """Spark's English stop words, sorted."""
+    return tuple(sorted(set(ENGLISH_STOP_WORDS.split())))
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:

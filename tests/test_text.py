@@ -96,3 +96,9 @@ def test_query_string_encodes_and_skips_null(spark):
         spark, "a b&c", lambda c: formats.query_string({"q": c, "n": F.lit(None).cast("string")})
     )
     assert got == "q=a+b%26c"
+
+
+def test_stop_words_are_sparks_list(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    assert text.default_stop_words() == tuple(sorted(set(StopWordsRemover.loadDefaultStopWords("english"))))
