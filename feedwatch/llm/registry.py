@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts
+from . import quality_classifier, quality_rules, token_counts
 
-_ALL = {**token_counts.QUERIES}
+_ALL = {**quality_rules.QUERIES, **quality_classifier.QUERIES, **token_counts.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
