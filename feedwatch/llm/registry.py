@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, quality_rules, token_counts, toxicity
+from . import mixing, quality_classifier, quality_rules, token_counts, toxicity
 
-_ALL = {**quality_rules.QUERIES, **quality_classifier.QUERIES, **token_counts.QUERIES, **toxicity.QUERIES}
+_ALL = {**mixing.QUERIES, **quality_rules.QUERIES, **quality_classifier.QUERIES, **token_counts.QUERIES, **toxicity.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
