@@ -16,6 +16,7 @@ from ..conf import shared_dir
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BLANK = re.compile(r"[\x20\x09-\x0D]")
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
