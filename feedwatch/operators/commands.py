@@ -103,17 +103,11 @@ def check_classify_requests(requests: DataFrame) -> DataFrame:
 def match_classify_requests(checked: DataFrame, posts: DataFrame) -> DataFrame:
     """Adds the number of stored posts per valid request; exactly one is a success.
 
-    Posts are counted per id first, so a repeated id never multiplies request rows.
+    Posts are counted per site and id first, so a repeated id never multiplies request rows.
     """
-    stored = posts.groupBy("post_id").agg(F.count(F.lit(1)).alias("stored"))
-    keyed = checked.withColumn("_id", F.coalesce("post_id", F.lit("")))
-    matched = lookup_join(
-        keyed,
-        stored.withColumnRenamed("post_id", "_id"),
-        ["_id"],
-        spread_by=["request_id"],
-        how="left",
-    ).drop("_id")
+    stored = posts.groupBy(F.col("site").alias("_site"), F.col("post_id").alias("_id")).agg(F.count(F.lit(1)).alias("stored"))
+    keyed = checked.withColumn("_site", F.coalesce("site", F.lit(""))).withColumn("_id", F.coalesce("post_id", F.lit("")))
+    matched = lookup_join(keyed, stored, ["_site", "_id"], spread_by=["request_id"], how="left").drop("_site", "_id")
     n = F.coalesce("stored", F.lit(0))
     valid = F.col("error").isNull()
     error = F.when(~valid, F.col("error")).when(n == 0, ID_NOT_FOUND).when(

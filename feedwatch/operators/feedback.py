@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.schemas import POST_KEYS
 from .skew import lookup_join
 
-POST_KEYS = ["site", "post_id"]
-
 
 def feedback_log(callbacks: DataFrame) -> DataFrame:
     """Parsed callbacks (button, site, post_id, seq) as log rows; display-only buttons drop out."""
@@ -43,7 +42,6 @@ def fold_feedback(log: DataFrame) -> DataFrame:
         F.max(F.when(op == "insert", F.col("seq"))).alias("inserted"),
         F.max(F.when(is_label, F.col("seq"))).alias("labelled"),
         F.max_by(F.when(is_label, op == "cb_true"), F.when(is_label, F.col("seq"))).alias("label"),
-        F.count(F.when(op == "insert", 1)).alias("inserts"),
     )
     never = F.lit(-(1 << 62))
     deleted = F.coalesce("deleted", never)
@@ -52,10 +50,9 @@ def fold_feedback(log: DataFrame) -> DataFrame:
     existed = (
         lookup_join(
             log.where(op == "insert"),
-            live.where(open_case).select(*POST_KEYS, "deleted", "labelled", "inserts"),
+            live.where(open_case).select(*POST_KEYS, "deleted", "labelled"),
             POST_KEYS,
             spread_by=["seq"],
-            rows_col="inserts",
         )
         .where((F.col("seq") > F.col("deleted")) & (F.col("seq") < F.col("labelled")))
         .select(*POST_KEYS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.formats import parse_epoch, seconds_between
-from ..sources.schemas import FEED_KEYS, POLL_KEYS
+from ..sources.schemas import FEED_KEYS, POLL_KEYS, POST_KEYS
 from .skew import lookup_join, ordered_position
 
 # --- fixed values -----------------------------------------------------------------
@@ -30,8 +30,8 @@ def split_listing(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(~bad), parsed.where(bad).drop("published")
 
 
-def read_pages(listing: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
-    """Per page of a poll: row count and time range, up to the page cap and the last page.
+def read_pages(listing: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Per page of a poll: row count and time range, up to the last page, and to the page cap if one is given.
 
     A poll ends at its first page without ``has_more``.
     """
@@ -49,15 +49,23 @@ def read_pages(listing: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFra
 
 
 def poll_marks(
-    listing: DataFrame, feeds: DataFrame, max_pages: int | None = MAX_PAGES
+    listing: DataFrame,
+    feeds: DataFrame,
+    max_pages: int | None = None,
+    polls: DataFrame | None = None,
+    started: DataFrame | None = None,
 ) -> DataFrame:
     """One row per poll of a followed feed: the mark before and after it, and how far it read.
 
     The mark only grows from poll to poll, so over several polls of one feed it is a
     running maximum. Everything is reduced to pages first, then to polls; the running
     maximum runs over polls, not over posts.
+
+    ``polls`` (POLL_KEYS) names all polls made, also those that list nothing. ``started``
+    (POLL_KEYS, started_at, started_first) has the marks of polls whose first rows came in
+    an earlier run; their other rows are judged by the same marks.
     """
-    polls = (
+    listed = (
         read_pages(listing, max_pages)
         .groupBy(*POLL_KEYS)
         .agg(
@@ -71,12 +79,21 @@ def poll_marks(
     order = Window.partitionBy(*FEED_KEYS).orderBy("poll_id")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     mark = F.greatest("last_post_time", F.max("newest").over(earlier))
+    if polls is not None:
+        listed = polls.select(*POLL_KEYS).distinct().join(listed, POLL_KEYS, "left").fillna(0, ["poll_rows"])
     marked = (
-        polls.join(feeds.select(*FEED_KEYS, "last_post_time", "new_feed"), FEED_KEYS)
+        listed.join(feeds.select(*FEED_KEYS, "last_post_time", "new_feed"), FEED_KEYS)
         .withColumn("mark_before", mark)
         .withColumn("first_poll", F.row_number().over(order) == 1)
-        .withColumn("mark_after", F.greatest("mark_before", "newest"))
     )
+    if started is not None:
+        marked = (
+            marked.join(started, POLL_KEYS, "left")
+            .withColumn("mark_before", F.coalesce("started_at", "mark_before"))
+            .withColumn("first_poll", F.coalesce("started_first", "first_poll"))
+            .drop("started_at", "started_first")
+        )
+    marked = marked.withColumn("mark_after", F.greatest("last_post_time", "mark_before", "newest"))
     cut = (
         F.lit(False)
         if max_pages is None
@@ -90,7 +107,7 @@ def poll_marks(
 def new_posts(
     listing: DataFrame,
     marks: DataFrame,
-    max_pages: int | None = MAX_PAGES,
+    max_pages: int | None = None,
     prefix: bool = False,
 ) -> DataFrame:
     """Listing rows newer than the mark their poll started from.
@@ -126,6 +143,17 @@ def new_posts(
     return rows.where(fresh)
 
 
+def take_while_marks(listing: DataFrame, marks: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """``marks`` as they are when each poll stops at its first old post: only rows before it raise the mark."""
+    accepted = new_posts(listing, marks, max_pages, prefix=True)
+    newest = accepted.groupBy(*POLL_KEYS).agg(F.max("published").alias("_newest"))
+    return (
+        marks.join(newest, POLL_KEYS, "left")
+        .withColumn("mark_after", F.greatest("mark_before", "_newest"))
+        .drop("_newest")
+    )
+
+
 def metadata_chunks(new: DataFrame, size: int = METADATA_CHUNK) -> DataFrame:
     """Numbers the new ids of each poll in listing order and cuts them into requests."""
     numbered = ordered_position(new, POLL_KEYS, bucket=F.col("page"), order=[F.col("pos")])
@@ -149,16 +177,16 @@ def known_posts(new: DataFrame, metadata: DataFrame) -> DataFrame:
     Overrides, messages and duplicate checks need no text, so it is attached last, to
     the rows that are stored.
     """
-    return one_per_poll(new).join(metadata.select("post_id"), "post_id", "left_semi")
+    return one_per_poll(new).join(metadata.select(*POST_KEYS), POST_KEYS, "left_semi")
 
 
 def attach_metadata(posts: DataFrame, metadata: DataFrame) -> DataFrame:
     """Posts with their metadata, inner; ``metadata`` has one row per post.
 
-    Both sides shuffle on ``post_id``; a post that many feeds list is split by the
+    Both sides shuffle on the post's key; a post that many feeds list is split by the
     adaptive skew join.
     """
-    return posts.join(metadata.drop("url", "notify", "published_time", "site"), "post_id")
+    return posts.join(metadata.drop("url", "notify", "published_time"), POST_KEYS)
 
 
 def enrich(new: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -168,7 +196,7 @@ def enrich(new: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def missing_metadata(new: DataFrame, metadata: DataFrame) -> DataFrame:
     return (
-        new.select("site", "post_id").distinct().join(metadata.select("post_id"), "post_id", "left_anti")
+        new.select(*POST_KEYS).distinct().join(metadata.select(*POST_KEYS), POST_KEYS, "left_anti")
     )
 
 
@@ -178,46 +206,46 @@ def override_new_feeds(enriched: DataFrame, first: int = NEW_FEED_NOTIFICATIONS)
     Only the first ``first`` places of each such poll are ranked (the limit is applied
     before the shuffle); the last of them is then the cut for all rows.
     """
-    ranked = enriched.where("first_of_new_feed").select(*POLL_KEYS, "at", "poll_rows")
+    ranked = enriched.where("first_of_new_feed").select(*POLL_KEYS, "at")
     place = F.row_number().over(Window.partitionBy(*POLL_KEYS).orderBy("at"))
     cuts = (
         ranked.withColumn("_place", place)
         .where(F.col("_place") <= first)
         .groupBy(*POLL_KEYS)
-        .agg(F.max("at").alias("cut"), F.max("poll_rows").alias("cut_rows"))
+        .agg(F.max("at").alias("cut"))
     )
     with_cut = lookup_join(
-        enriched, cuts, POLL_KEYS, spread_by=["post_id"], rows_col="cut_rows", how="left"
+        enriched, cuts, POLL_KEYS, spread_by=["post_id"], how="left"
     )
     return with_cut.withColumn(
         "set_notify", F.when(F.col("cut").isNotNull(), F.col("at") <= F.col("cut"))
-    ).drop("cut", "cut_rows")
+    ).drop("cut")
 
 
 def first_writes(batch: DataFrame, order: list[str]) -> DataFrame:
-    """The first row of each post id in a batch (partial aggregation, no sort per id)."""
-    others = [c for c in batch.columns if c != "post_id"]
+    """The first row of each post in a batch (partial aggregation, no sort per post)."""
+    others = [c for c in batch.columns if c not in POST_KEYS]
     first = F.min_by(F.struct(*others), F.struct(*order)).alias("_first")
-    return batch.groupBy("post_id").agg(first).select(
-        "post_id", *[F.col(f"_first.{c}") for c in others]
+    return batch.groupBy(*POST_KEYS).agg(first).select(
+        *POST_KEYS, *[F.col(f"_first.{c}") for c in others]
     )
 
 
 def insert_if_absent(batch: DataFrame, posts: DataFrame, order: list[str]) -> DataFrame:
-    """Rows of a batch to append: the first of each id, unless the id is stored already.
+    """Rows of a batch to append: the first of each post, unless it is stored already.
 
-    The stored ids are first reduced to those in the batch. A batch small enough to be
+    A post is known by site and id. The stored ids are first reduced to those in the batch. A batch small enough to be
     broadcast then leaves the stored table unshuffled.
     """
     first = first_writes(batch, order)
-    stored = posts.select("post_id").join(first.select("post_id"), "post_id", "left_semi")
-    return first.join(stored, "post_id", "left_anti")
+    stored = posts.select(*POST_KEYS).join(first.select(*POST_KEYS), POST_KEYS, "left_semi")
+    return first.join(stored, POST_KEYS, "left_anti")
 
 
 def advance_feeds(feeds: DataFrame, marks: DataFrame, polled_at: Column) -> DataFrame:
     """The feed table after a round of polls: mark, poll time and flag of the polled feeds."""
-    last = marks.groupBy(*FEED_KEYS).agg(F.max("mark_after").alias("mark_after"))
-    polled = F.col("mark_after").isNotNull()
+    last = marks.groupBy(*FEED_KEYS).agg(F.max("mark_after").alias("mark_after"), F.lit(True).alias("_polled"))
+    polled = F.coalesce("_polled", F.lit(False))
     return feeds.join(last, FEED_KEYS, "left").select(
         *FEED_KEYS,
         F.when(polled, polled_at).otherwise(F.col("last_query_time")).alias("last_query_time"),
@@ -242,7 +270,7 @@ def download_posts(requests: DataFrame, metadata: DataFrame) -> DataFrame:
     """Requested ids with metadata and URL; ``error`` where an id does not exist."""
     found = F.col("_found").isNotNull()
     return (
-        requests.join(metadata.withColumn("_found", F.lit(True)).drop("site"), "post_id", "left")
+        requests.join(metadata.withColumn("_found", F.lit(True)), POST_KEYS, "left")
         .withColumn("error", F.when(~found, "post not found"))
         .drop("_found")
     )

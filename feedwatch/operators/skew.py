@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..conf import hot_key_rows
 
 
+#: Keys that are broadcast at most: every key with more than 1 / HOT_KEYS of all rows is among them.
+HOT_KEYS = 10_000
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -19,29 +23,32 @@ def lookup_join(
 ) -> DataFrame:
     """Join many ``rows`` to a ``lookup`` with one row per key.
 
-    Keys with more than ``feedwatch.hotKeyRows`` rows are matched by broadcast.
-    There are at most total_rows / hotKeyRows of them, so the broadcast is bounded
-    by construction. All other keys go through an ordinary shuffle join, in which
-    the rows of hot keys are spread by a hash of ``spread_by``.
+    Of the keys with more than ``feedwatch.hotKeyRows`` rows, the ``HOT_KEYS`` largest are
+    matched by broadcast, so its size is bounded whatever the data. All other keys go
+    through an ordinary shuffle join, in which the rows of hot keys are spread by a hash
+    of ``spread_by``; adaptive execution splits what is left of skew there.
 
-    ``rows_col`` names a column of ``lookup`` holding the number of rows per key;
-    without it the rows are counted here (map-side combined).
+    ``rows_col`` names a column of ``lookup`` holding the number of rows per key. Without
+    it the rows are counted here (map-side combined), and then keys that ``lookup``
+    lacks are spread as well.
     """
     keys = list(keys)
     limit = hot_key_rows(rows.sparkSession)
     if rows_col is None:
         rows_col = "_rows"
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(rows_col))
-        lookup = counts.join(lookup, keys, "inner")
+        lookup = counts.join(lookup.withColumn("_known", F.lit(True)), keys, "left")
         keep_rows_col = False
     else:
         keep_rows_col = True
+    if "_known" not in lookup.columns:
+        lookup = lookup.withColumn("_known", F.lit(True))
     values = [c for c in lookup.columns if c not in keys]
     packed = lookup.select(*keys, F.struct(*values).alias("_v"))
-    hot = packed.where(F.col(f"_v.{rows_col}") > limit).withColumnRenamed("_v", "_hot")
-    cold = packed.where(F.coalesce(F.col(f"_v.{rows_col}"), F.lit(0)) <= limit).withColumn(
-        "_salt", F.lit(0).cast("bigint")
-    )
+    n = F.col(f"_v.{rows_col}")
+    hot = packed.where(n > limit).orderBy(n.desc(), *keys).limit(HOT_KEYS).withColumnRenamed("_v", "_hot")
+    # Hot keys stay in here too: their rows have another salt and never meet them.
+    cold = packed.withColumn("_salt", F.lit(0).cast("bigint"))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(1 << 30)) + 1).otherwise(
         F.lit(0).cast("bigint")
     )
@@ -52,8 +59,8 @@ def lookup_join(
         .withColumn("_v", F.coalesce("_hot", "_v"))
     )
     if how == "inner":
-        joined = joined.where(F.col("_v").isNotNull())
-    out = [v for v in values if keep_rows_col or v != rows_col]
+        joined = joined.where("_v._known")
+    out = [v for v in values if v != "_known" and (keep_rows_col or v != rows_col)]
     return joined.select(*[F.col(c) for c in rows.columns], *[F.col(f"_v.{v}") for v in out])
 
 

@@ -20,9 +20,9 @@ def _clock():
     return F.timestamp_seconds(F.lit(derived.CLOCK))
 
 
-def _polled(spark, sf_dir):
+def _polled(spark, sf_dir, max_pages: int | None = None):
     listing, _ = I.split_listing(derived.listing(spark, sf_dir))
-    marks = I.poll_marks(listing, derived.feeds(spark, sf_dir))
+    marks = I.poll_marks(listing, derived.feeds(spark, sf_dir), max_pages)
     return listing, marks
 
 
@@ -40,13 +40,9 @@ def poll_new_posts(spark, sf_dir) -> DataFrame:
 
 
 def poll_ids(spark, sf_dir) -> DataFrame:
-    """New ids per poll; a poll accepts at most the page cap, so its list is bounded."""
-    lists = _accepted(spark, sf_dir).groupBy(*POLL_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("page", "pos", "post_id"))).alias("ids")
-    )
-    return lists.select(
-        "feed_type", "query", "poll_id", F.array_join(F.col("ids.post_id"), ",").alias("ids")
-    )
+    """New ids of each poll, numbered in listing order; rows, as a poll has no bound."""
+    numbered = I.metadata_chunks(_accepted(spark, sf_dir))
+    return numbered.select("feed_type", "query", "poll_id", "position", "post_id")
 
 
 def poll_take_while(spark, sf_dir) -> DataFrame:
@@ -56,14 +52,31 @@ def poll_take_while(spark, sf_dir) -> DataFrame:
     return new.select(*_PLACE, "published")
 
 
+def poll_take_while_marks(spark, sf_dir) -> DataFrame:
+    """The marks that polls of unordered listings leave when they stop at the first old post."""
+    listing, _ = I.split_listing(derived.unordered_listing(spark, sf_dir))
+    marks = I.poll_marks(listing, derived.feeds(spark, sf_dir))
+    after = I.take_while_marks(listing, marks)
+    return after.select("feed_type", "query", "poll_id", "mark_before", "mark_after")
+
+
+def poll_empty(spark, sf_dir) -> DataFrame:
+    """The feed table after every feed was polled in every round, also where a poll lists nothing."""
+    listing, _ = I.split_listing(derived.listing(spark, sf_dir))
+    feeds = derived.feeds(spark, sf_dir)
+    polls = feeds.select(*POLL_KEYS[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(derived.ROUNDS - 1).cast("long"))).alias("poll_id"))
+    marks = I.poll_marks(listing, feeds, polls=polls)
+    return _feed_rows(I.advance_feeds(feeds, marks, _clock()))
+
+
 def poll_page_cap(spark, sf_dir) -> DataFrame:
     listing, _ = I.split_listing(derived.listing(spark, sf_dir))
-    pages = I.read_pages(listing)
+    pages = I.read_pages(listing, I.MAX_PAGES)
     return pages.select("feed_type", "query", "poll_id", "page", "page_rows", "page_newest", "page_oldest")
 
 
 def poll_truncated(spark, sf_dir) -> DataFrame:
-    _, marks = _polled(spark, sf_dir)
+    _, marks = _polled(spark, sf_dir, I.MAX_PAGES)
     return marks.select("feed_type", "query", "poll_id", "mark_before", "mark_after", "truncated")
 
 
@@ -262,8 +275,7 @@ _STREAMS: dict[tuple[str, str], PostStore] = {}
 def _streamed(spark, sf_dir) -> PostStore:
     """Land the listing poll round by poll round and run the stream after each.
 
-    A poller never reads past the page cap, so only those pages are landed and a poll
-    is a bounded set of rows that can lie in one file.
+    How a round's rows lie in files, and which files make up a micro-batch, doesn't matter.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _STREAMS:
@@ -272,10 +284,10 @@ def _streamed(spark, sf_dir) -> PostStore:
     store = PostStore(spark, f"{base}/store")
     store.create(derived.feeds(spark, sf_dir))
     metadata = derived.posts(spark, sf_dir)
-    listing = derived.listing(spark, sf_dir).where(F.col("page") < I.MAX_PAGES)
+    listing = derived.listing(spark, sf_dir)
     staged, landing = f"{base}/staged", f"{base}/landing"
-    # Whole polls per file, one folder per round.
-    listing.repartition(*POLL_KEYS).write.partitionBy("poll_id").parquet(staged)
+    # One folder per round.
+    listing.write.partitionBy("poll_id").parquet(staged)
     staged_rows = spark.read.schema(LISTING).parquet(staged)
     rounds = staged_rows.select("poll_id").distinct().orderBy("poll_id").collect()
     for (poll_round,) in rounds:
@@ -304,6 +316,7 @@ def stream_messages(spark, sf_dir) -> DataFrame:
 
 
 _POLL = (B.FEEDS, B.LISTING, B.ACCEPTED)
+_CAPPED = (B.FEEDS, B.LISTING, B.ACCEPTED_CAPPED)
 _MARKS = """
 SELECT feed_type, query, poll_id, any_value(mark_before) AS mark_before,
        greatest(any_value(mark_before), max(published)) AS mark_after,
@@ -331,8 +344,9 @@ QUERIES = {
     "poll_ids": (
         poll_ids,
         B.with_tables(
-            "SELECT feed_type, query, poll_id, string_agg(post_id, ',' ORDER BY page, pos) AS ids "
-            "FROM accepted GROUP BY ALL",
+            """SELECT feed_type, query, poll_id, post_id,
+                 row_number() OVER (PARTITION BY feed_type, query, poll_id ORDER BY page, pos) AS position
+            FROM accepted""",
             *_POLL,
         ),
     ),
@@ -347,16 +361,41 @@ QUERIES = {
             B.UNORDERED_LISTING,
         ),
     ),
+    "poll_take_while_marks": (
+        poll_take_while_marks,
+        B.with_tables(
+            """SELECT feed_type, query, poll_id, any_value(last_post_time) AS mark_before,
+                 greatest(any_value(last_post_time), coalesce(max(published) FILTER (seen_old = 0), 0)) AS mark_after
+            FROM (
+              SELECT u.*, f.last_post_time, max((u.published <= f.last_post_time)::INT) OVER (
+                       PARTITION BY feed_type, query ORDER BY page, pos) AS seen_old
+              FROM unordered u JOIN feeds f USING (feed_type, query))
+            GROUP BY feed_type, query, poll_id""",
+            B.FEEDS,
+            B.UNORDERED_LISTING,
+        ),
+    ),
+    "poll_empty": (
+        poll_empty,
+        B.with_tables(
+            f"""SELECT feed_type, query, {B.CLOCK} AS last_query_time, false AS new_feed,
+                 greatest(f.last_post_time, coalesce(max(l.published), f.last_post_time)) AS last_post_time
+            FROM feeds f LEFT JOIN listing l USING (feed_type, query)
+            GROUP BY feed_type, query, f.last_post_time""",
+            B.FEEDS,
+            B.LISTING,
+        ),
+    ),
     "poll_page_cap": (
         poll_page_cap,
         B.with_tables(
             """SELECT feed_type, query, poll_id, page, count(*) AS page_rows,
                  max(published) AS page_newest, min(published) AS page_oldest
             FROM read_rows GROUP BY ALL""",
-            *_POLL,
+            *_CAPPED,
         ),
     ),
-    "poll_truncated": (poll_truncated, B.with_tables(_MARKS, *_POLL)),
+    "poll_truncated": (poll_truncated, B.with_tables(_MARKS, *_CAPPED)),
     "poll_mark_advance": (poll_mark_advance, B.with_tables(_FEEDS_AFTER, *_POLL)),
     "metadata_batches": (
         metadata_batches,

@@ -176,7 +176,7 @@ def classify_requests(spark, sf_dir) -> DataFrame:
     n_posts = derived.table(spark, sf_dir, "documents").count()
     post_id = F.when(F.col("value") >= 1, F.pmod("request_id", F.lit(n_posts * 6 // 5)).cast("string"))
     requests = _request_columns(events).select("request_id", "site", post_id.alias("post_id"))
-    posts = derived.posts(spark, sf_dir).select("post_id", "notify")
+    posts = derived.posts(spark, sf_dir).select("site", "post_id", "notify")
     store = posts.unionByName(posts.where(F.col("notify").isNotNull()))
     matched = commands.match_classify_requests(commands.check_classify_requests(requests), store)
     return matched.select(
@@ -194,11 +194,11 @@ def label_topk(spark, sf_dir) -> DataFrame:
 
 
 def label_with_random(spark, sf_dir) -> DataFrame:
-    return labelling.select_to_label(_unlabelled(spark, sf_dir), LABEL_COUNT)
+    return labelling.select_to_label(_unlabelled(spark, sf_dir), LABEL_COUNT).drop("site")
 
 
 def label_distinct(spark, sf_dir) -> DataFrame:
-    return labelling.select_to_label(_unlabelled(spark, sf_dir), LABEL_COUNT, distinct=True)
+    return labelling.select_to_label(_unlabelled(spark, sf_dir), LABEL_COUNT, distinct=True).drop("site")
 
 
 def label_messages(spark, sf_dir) -> DataFrame:
@@ -230,14 +230,14 @@ def model_scores(spark, sf_dir) -> DataFrame:
 
 def label_from_model(spark, sf_dir) -> DataFrame:
     posts = derived.posts(spark, sf_dir)
-    return trained_model(spark, sf_dir).select_to_label(posts, LABEL_COUNT)
+    return trained_model(spark, sf_dir).select_to_label(posts, LABEL_COUNT).drop("site")
 
 
 def rescored_text(spark, sf_dir) -> DataFrame:
     """Full text and fresh score of every post the feedback log asks to print."""
     log = derived.feedback(spark, sf_dir).where(F.col("op") == "cb_print")
-    asked = log.select("post_id").distinct()
-    posts = derived.posts(spark, sf_dir).join(asked, "post_id", "left_semi")
+    asked = log.select("site", "post_id").distinct()
+    posts = derived.posts(spark, sf_dir).join(asked, ["site", "post_id"], "left_semi")
     return routing.printed_posts(trained_model(spark, sf_dir).score(posts))
 
 
@@ -333,7 +333,7 @@ v AS (
   SELECT r.*, coalesce(s.n, 0) AS n,
          CASE WHEN r.post_id IS NULL OR site IS NULL THEN 'invalid_request'
               WHEN site NOT IN ('gallery', 'microblog') THEN 'Cannot find site ' || site END AS invalid
-  FROM r LEFT JOIN stored s USING (post_id))
+  FROM r LEFT JOIN stored s ON r.post_id = s.post_id AND r.site = 'gallery')
 SELECT request_id, site, post_id, CASE WHEN invalid IS NULL THEN n END::BIGINT AS n_matches,
        invalid IS NULL AND n = 1 AS success,
        coalesce(invalid, CASE WHEN n = 0 THEN 'id not found in database.'

@@ -93,7 +93,7 @@ def unlabelled_posts(spark, sf_dir) -> DataFrame:
 def lookup_post(spark, sf_dir) -> DataFrame:
     """The post with the greatest id, found by id."""
     last = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id")).first()[0]
-    found = tables.find_post(derived.posts(spark, sf_dir), str(last))
+    found = tables.find_post(derived.posts(spark, sf_dir), "gallery", str(last))
     return found.select("post_id", "url", "title", "description")
 
 
@@ -160,7 +160,7 @@ def _n_posts(spark, sf_dir) -> int:
 
 
 def ngram_counts(spark, sf_dir) -> DataFrame:
-    return features.term_counts(_term_arrays(spark, sf_dir), blocks=features.PRUNED_BLOCKS)
+    return features.term_counts(_term_arrays(spark, sf_dir), blocks=features.PRUNED_BLOCKS).drop("site")
 
 
 def pruned_vocab(spark, sf_dir) -> DataFrame:
@@ -180,7 +180,7 @@ def tfidf_weights(spark, sf_dir) -> DataFrame:
     n = _n_posts(spark, sf_dir)
     counts = _counts(spark, sf_dir)
     weights = features.tfidf(counts, features.vocabulary(counts, n), n)
-    return weights.withColumn("weight", F.round("weight", 6))
+    return weights.withColumn("weight", F.round("weight", 6)).drop("site")
 
 
 _DISPLAY_SQL = (

@@ -13,6 +13,7 @@ from . import schemas as S
 
 CLOCK = 1_706_659_200  # 2024-01-31 00:00:00 UTC
 PAGE_SIZE = 2
+ROUNDS = 3  # of ten days each
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -51,8 +51,9 @@ def select_posts(posts: DataFrame, labelled: bool | None = None) -> DataFrame:
     )
 
 
-def find_post(posts: DataFrame, post_id: str | Column) -> DataFrame:
-    return posts.where(F.col("post_id") == (F.lit(post_id) if isinstance(post_id, str) else post_id))
+def find_post(posts: DataFrame, site: str, post_id: str | Column) -> DataFrame:
+    wanted = F.lit(post_id) if isinstance(post_id, str) else post_id
+    return posts.where((F.col("site") == site) & (F.col("post_id") == wanted))
 
 
 def decode_listing_reply(replies: DataFrame, body: str = "body") -> DataFrame:

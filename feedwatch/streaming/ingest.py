@@ -5,8 +5,8 @@ stream, but every feed has its own. Micro-batch *n* reads the feeds written by *
 and overwrites its own folders, so a replay after a lost executor or driver gives the
 same tables.
 
-A poll must be landed within one micro-batch, and the polls of a feed in order; the
-poller lands at most the page cap per poll, so one poll is always a bounded file.
+The polls of a feed must land in order. A poll may lie in several files and micro-batches:
+the mark it started from is kept, and its later rows are judged by that mark.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from ..sources.tables import read_batches, write_batch
 
 STORED_POST = T.StructType([f for f in S.POST.fields if f.name != "notify"])
 MESSAGE_LOG = T.StructType(S.MESSAGE.fields + [T.StructField("url", T.StringType())])
+STARTED = T.StructType(
+    [f for f in S.LISTING.fields if f.name in S.POLL_KEYS]
+    + [T.StructField("started_at", T.LongType()), T.StructField("started_first", T.BooleanType())]
+)
 WRITE_ORDER = ["poll_id", "feed_type", "query", "at"]
 
 
@@ -36,12 +40,14 @@ class PostStore:
         self.feeds_path = f"{self.path}/feeds"
         self.messages_path = f"{self.path}/messages"
         self.quarantine_path = f"{self.path}/quarantine"
+        self.polls_path = f"{self.path}/polls"
 
     def create(self, feeds: DataFrame) -> None:
         """Empty tables and the first feed snapshot, as batch -1."""
         write_batch(self.spark.createDataFrame([], STORED_POST), self.posts_path, -1)
         write_batch(self.spark.createDataFrame([], MESSAGE_LOG), self.messages_path, -1)
         write_batch(unique_feeds(feeds), self.feeds_path, -1)
+        write_batch(self.spark.createDataFrame([], STARTED), self.polls_path, -1)
 
     def feeds(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(S.FEED).parquet(f"{self.feeds_path}/batch={batch_id}")
@@ -49,6 +55,12 @@ class PostStore:
     def posts(self, before: int | None = None) -> DataFrame:
         return read_batches(self.spark, self.posts_path, STORED_POST, before)
 
+    def started(self, before: int) -> DataFrame:
+        """The mark that each poll of earlier batches started from."""
+        polls = read_batches(self.spark, self.polls_path, STARTED, before)
+        firsts = (F.min("started_at").alias("started_at"), F.bool_or("started_first").alias("started_first"))
+        return polls.groupBy(*S.POLL_KEYS).agg(*firsts)
+
     def messages(self) -> DataFrame:
         return read_batches(self.spark, self.messages_path, MESSAGE_LOG)
 
@@ -59,7 +71,7 @@ def ingest_batch(
     batch_id: int,
     metadata: DataFrame,
     polled_at: Column,
-    max_pages: int | None = I.MAX_PAGES,
+    max_pages: int | None = None,
 ) -> None:
     """One round of polls: everything the push path does up to the notifier."""
     parsed = I.parse_listing(listing).persist(StorageLevel.MEMORY_AND_DISK)
@@ -67,7 +79,8 @@ def ingest_batch(
     try:
         usable = parsed.where(F.col("published").isNotNull())
         feeds = store.feeds(batch_id - 1)
-        marks = I.poll_marks(usable, feeds, max_pages).persist(StorageLevel.MEMORY_AND_DISK)
+        started = store.started(before=batch_id)
+        marks = I.poll_marks(usable, feeds, max_pages, started=started).persist(StorageLevel.MEMORY_AND_DISK)
         new = I.new_posts(usable, marks, max_pages)
         # Read twice below, for messages and for posts.
         known = I.override_new_feeds(I.known_posts(new, metadata)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -80,6 +93,8 @@ def ingest_batch(
         write_batch(inserted, store.posts_path, batch_id)
         write_batch(messages, store.messages_path, batch_id)
         write_batch(parsed.where(F.col("published").isNull()), store.quarantine_path, batch_id)
+        begun = marks.select(*S.POLL_KEYS, F.col("mark_before").alias("started_at"), F.col("first_poll").alias("started_first"))
+        write_batch(begun, store.polls_path, batch_id)
         write_batch(I.advance_feeds(feeds, marks, polled_at), store.feeds_path, batch_id)
     finally:
         for cached in (parsed, marks, known):
@@ -92,7 +107,7 @@ def start_ingest(
     listing_stream: DataFrame,
     metadata: DataFrame,
     polled_at: Callable[[], Column] = F.current_timestamp,
-    max_pages: int | None = I.MAX_PAGES,
+    max_pages: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Run the ingest on a listing stream; by default once over everything that has landed."""

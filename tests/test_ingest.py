@@ -31,7 +31,7 @@ def metadata(spark, ids):
 
 def accept(spark, polls, mark=100, **kw):
     rows, _ = I.split_listing(listing(spark, polls))
-    marks = I.poll_marks(rows, feeds(spark, mark), kw.get("max_pages", I.MAX_PAGES))
+    marks = I.poll_marks(rows, feeds(spark, mark), kw.get("max_pages"))
     return I.new_posts(rows, marks, **kw), marks
 
 
@@ -146,6 +146,47 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert store.posts().count() == 2 and store.messages().count() == 2
 
 
+def test_a_poll_in_several_batches_is_judged_by_the_mark_it_started_from(spark, tmp_path):
+    polls = {0: [("a", "110"), ("b", "105"), ("c", "90"), ("d", "104")]}
+    meta = metadata(spark, list("abcd"))
+    found = []
+    for name, files in (("whole", 1), ("split", 4)):
+        base = str(tmp_path / name)
+        store = PostStore(spark, f"{base}/store")
+        store.create(feeds(spark))
+        rows = listing(spark, polls)
+        rows.repartition(files, "post_id").write.parquet(f"{base}/landing")
+        stream = stream_listing(spark, f"{base}/landing", files_per_trigger=1)
+        start_ingest(store, stream, meta, lambda: F.timestamp_seconds(F.lit(5000))).awaitTermination()
+        last = spark.read.parquet(store.feeds_path).agg(F.max("batch")).first()[0]
+        found.append((ids(store.posts()), store.feeds(last).collect()))
+    assert found[0] == found[1]
+    assert found[0][0] == ["a", "b", "d"]
+
+
+def test_same_id_on_two_sites_is_two_posts(spark):
+    rows = [(s, "7", f"{s}/7", 0, 0, 0, "110") for s in ("gallery", "microblog")]
+    batch = spark.createDataFrame(rows, "site string, post_id string, url string, poll_id long, page int, pos int, t string")
+    stored = spark.createDataFrame([("microblog", "8")], "site string, post_id string")
+    assert I.insert_if_absent(batch, stored, ["poll_id"]).count() == 2
+    stored = spark.createDataFrame([("microblog", "7")], "site string, post_id string")
+    assert [r["site"] for r in I.insert_if_absent(batch, stored, ["poll_id"]).collect()] == ["gallery"]
+
+
+def test_empty_poll_counts_as_polled(spark):
+    polls = spark.createDataFrame([(*FEED, 0)], "site string, feed_type string, query string, poll_id long")
+    rows, _ = I.split_listing(listing(spark, {}))
+    marks = I.poll_marks(rows, feeds(spark, new=True), polls=polls)
+    after = I.advance_feeds(feeds(spark, new=True), marks, F.timestamp_seconds(F.lit(1000))).first()
+    assert not after["new_feed"] and after["last_query_time"] is not None and after["last_post_time"] == 100
+
+
+def test_take_while_mark_comes_from_accepted_rows(spark):
+    rows, _ = I.split_listing(listing(spark, {0: [("a", "105"), ("old", "90"), ("late", "110")]}))
+    marks = I.poll_marks(rows, feeds(spark))
+    assert I.take_while_marks(rows, marks).first()["mark_after"] == 105
+
+
 def test_stream_in_rounds_equals_one_batch(spark, tmp_path):
     polls = {
         0: [("a", "110"), ("b", "105")],

@@ -78,7 +78,20 @@ def test_fallback_model(spark):
 
 def test_retrain_goes_on_after_a_site_without_data(spark, tmp_path):
     result = model.retrain(toy(spark), str(tmp_path), 1, ["microblog", "gallery"])
-    assert result["microblog"].reason == "not_enough_labelled" and result["gallery"].reason is None
+    rows = {r["site"]: (r["success"], r["error"]) for r in result.collect()}
+    assert rows == {"microblog": (False, "not_enough_labelled"), "gallery": (True, None)}
+    assert model.NotificationModel.load(f"{tmp_path}/site=gallery", 1).reason is None
+
+
+def test_retrain_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    def train(posts, site):
+        if site == "microblog":
+            raise ValueError("no such folder")
+        return model.NotificationModel(site, "single_class")
+
+    monkeypatch.setattr(model, "train", train)
+    rows = model.retrain(toy(spark), str(tmp_path), 1, ["microblog", "gallery"]).collect()
+    assert [tuple(r) for r in rows] == [("microblog", False, "no such folder"), ("gallery", False, "single_class")]
 
 
 def test_class_weights_are_balanced(spark):
@@ -100,15 +113,18 @@ def test_vectors_equal_long_form_weights(spark):
         assert sorted(round(float(v), 9) for v in row["features"].values if v) == want[row["post_id"]]
 
 
-def test_hashed_features_take_over_beyond_the_vocabulary_limit(spark):
-    frame = features.with_terms(tables.select_posts(toy(spark), labelled=True))
-    fitted = features.fit_features(frame, frame.count(), vocab_limit=3, hash_size=1 << 10)
-    assert fitted.mode == "hashed"
-    assert all(r["features"].size == 3 << 10 for r in fitted.transform(frame).collect())
+def test_training_rows_have_a_documented_bound(spark):
+    fitted = model.train(toy(spark), max_labelled_rows=1)
+    assert fitted.reason == "not_enough_labelled"
+
+
+def test_scoring_reads_posts_once_and_joins_nothing(spark):
+    plan = model.train(toy(spark)).score(toy(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_selection_without_randomness_is_the_top_k(spark):
-    scored = spark.createDataFrame([(str(i), i / 50) for i in range(50)], "post_id string, score double")
+    scored = spark.createDataFrame([("gallery", str(i), i / 50) for i in range(50)], "site string, post_id string, score double")
     chosen = labelling.select_to_label(scored, 7, ratio=0.0).orderBy("slot").collect()
     top = labelling.nearest_to_decision(scored, 7).collect()
     assert [r["post_id"] for r in chosen] == [r["post_id"] for r in top]
@@ -118,10 +134,10 @@ def test_selection_without_randomness_is_the_top_k(spark):
 
 
 def test_missing_selected_posts_are_reported(spark):
-    selected = spark.createDataFrame([(1, "0", False), (2, "gone", False)], "slot int, post_id string, randomised boolean")
+    selected = spark.createDataFrame([(1, "gallery", "0", False), (2, "gallery", "gone", False), (3, "microblog", "0", False)], "slot int, site string, post_id string, randomised boolean")
     found, missing = labelling.find_selected(selected, toy(spark))
     assert [r["post_id"] for r in found.collect()] == ["0"]
-    assert [r["post_id"] for r in missing.collect()] == ["gone"]
+    assert sorted((r["site"], r["post_id"]) for r in missing.collect()) == [("gallery", "gone"), ("microblog", "0")]
 
 
 def test_statistics_of_no_posts(spark):

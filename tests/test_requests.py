@@ -22,12 +22,12 @@ def test_site_names_are_exact(spark):
 
 
 def test_classify_requests(spark):
-    rows = [(1, None, "gallery"), (2, "a", None), (3, "a", "zz"), (4, "none", "gallery"), (5, "a", "gallery"), (6, "b", "gallery")]
+    rows = [(1, None, "gallery"), (2, "a", None), (3, "a", "zz"), (4, "none", "gallery"), (5, "a", "gallery"), (6, "b", "gallery"), (7, "b", "microblog")]
     requests = spark.createDataFrame(rows, "request_id int, post_id string, site string")
-    store = spark.createDataFrame([("a",), ("b",), ("b",)], "post_id string")
+    store = spark.createDataFrame([("gallery", "a"), ("gallery", "b"), ("gallery", "b"), ("microblog", "a"), ("microblog", "b")], "site string, post_id string")
     got = commands.match_classify_requests(commands.check_classify_requests(requests), store)
     by_id = {r["request_id"]: r for r in got.collect()}
-    assert [by_id[i]["success"] for i in range(1, 7)] == [False, False, False, False, True, False]
+    assert [by_id[i]["success"] for i in range(1, 8)] == [False, False, False, False, True, False, True]
     assert by_id[1]["error_description"] == commands.CLASSIFY_NO_ID
     assert by_id[3]["error"] == "Cannot find site zz"
     assert by_id[4]["error"] == commands.ID_NOT_FOUND and by_id[6]["error"] == commands.ID_NOT_UNIQUE
