@@ -61,6 +61,28 @@ def stats_report_lines(spark, sf_dir) -> DataFrame:
     return stats.statistics_report(derived.posts(spark, sf_dir))
 
 
+def site_report_lines(spark, sf_dir) -> DataFrame:
+    """The report of every site, as a statistics request for all sites answers."""
+    return stats.statistics_report(derived.posts_by_site(spark, sf_dir), by=["site"])
+
+
+_BY_SITE = """
+by_site AS (SELECT * REPLACE (CASE WHEN lang = 'en' THEN 'gallery' ELSE 'microblog' END AS site) FROM posts),
+top AS (
+  SELECT site, author, count(*) AS n, avg((notify IS NOT NULL)::INT) * 100 AS l, avg(notify::INT) * 100 AS r
+  FROM by_site GROUP BY site, author
+  QUALIFY row_number() OVER (PARTITION BY site ORDER BY n DESC, author) <= 5),
+corpus AS (
+  SELECT site, count(*) AS n, avg((notify IS NOT NULL)::INT) * 100 AS l, avg(notify::INT) * 100 AS r FROM by_site GROUP BY site)"""
+_SITE_REPORT_SQL = """
+SELECT site, 0 AS line_no, 'Number of Posts: ' || n AS line FROM corpus
+UNION ALL SELECT site, 1, 'Percent Labelled: ' || coalesce(printf('%.2f', l), 'nan') || '%' FROM corpus
+UNION ALL SELECT site, 2, 'Notification Rate: ' || coalesce(printf('%.2f', r), 'nan') || '%' FROM corpus
+UNION ALL SELECT site, 3, 'Top-5 Author Statistics:' FROM corpus
+UNION ALL SELECT site, 3 + row_number() OVER (PARTITION BY site ORDER BY n DESC, author),
+  author || ' ' || n || ' ' || coalesce(printf('%.2f', l), 'nan') || '% '
+         || coalesce(printf('%.2f', r), 'nan') || '%' FROM top"""
+
 _REPORT_TABLES = (
     """
 top AS (
@@ -209,6 +231,7 @@ QUERIES = {
         stats_report_lines,
         B.with_tables(_REPORT_SQL, B.POSTS, *_REPORT_TABLES),
     ),
+    "site_report_lines": (site_report_lines, B.with_tables(_SITE_REPORT_SQL, B.POSTS, _BY_SITE)),
     "flatten_posts": (
         flatten_posts,
         B.with_tables(
