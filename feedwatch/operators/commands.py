@@ -119,3 +119,16 @@ def match_classify_requests(checked: DataFrame, posts: DataFrame) -> DataFrame:
         .withColumn("success", F.col("error").isNull())
         .drop("stored")
     )
+
+
+def answer_classify_requests(matched: DataFrame, scored: DataFrame, notify_cutoff: float = 0.5) -> DataFrame:
+    """Adds score and notify to the requests that succeed, NULL to the others.
+
+    ``scored`` (site, post_id, score) is what a site's model gives its stored posts.
+    """
+    keyed = matched.withColumn("_site", F.when(F.col("success"), F.col("site"))).withColumn(
+        "_id", F.when(F.col("success"), F.col("post_id"))
+    )
+    scores = scored.select(F.col("site").alias("_site"), F.col("post_id").alias("_id"), "score")
+    answered = lookup_join(keyed, scores, ["_site", "_id"], spread_by=["request_id"], how="left")
+    return answered.drop("_site", "_id").withColumn("notify", F.col("score") >= notify_cutoff)

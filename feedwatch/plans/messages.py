@@ -170,7 +170,7 @@ def service_requests(spark, sf_dir) -> DataFrame:
     )
 
 
-def classify_requests(spark, sf_dir) -> DataFrame:
+def _matched_requests(spark, sf_dir) -> DataFrame:
     """A classify request per event against a store that holds the labelled posts twice."""
     events = derived.table(spark, sf_dir, "events")
     n_posts = derived.table(spark, sf_dir, "documents").count()
@@ -178,8 +178,20 @@ def classify_requests(spark, sf_dir) -> DataFrame:
     requests = _request_columns(events).select("request_id", "site", post_id.alias("post_id"))
     posts = derived.posts(spark, sf_dir).select("site", "post_id", "notify")
     store = posts.unionByName(posts.where(F.col("notify").isNotNull()))
-    matched = commands.match_classify_requests(commands.check_classify_requests(requests), store)
-    return matched.select(
+    return commands.match_classify_requests(commands.check_classify_requests(requests), store)
+
+
+def classify_answers(spark, sf_dir) -> DataFrame:
+    """What each classify request is answered, with the stand-in model's score."""
+    scored = derived.scored_posts(spark, sf_dir)
+    answered = commands.answer_classify_requests(_matched_requests(spark, sf_dir), scored)
+    return answered.select(
+        "request_id", "site", "post_id", "success", F.round("score", 6).alias("score"), "notify", "error"
+    )
+
+
+def classify_requests(spark, sf_dir) -> DataFrame:
+    return _matched_requests(spark, sf_dir).select(
         "request_id", "site", "post_id", "n_matches", "success", "error", "error_description"
     )
 
@@ -342,6 +354,10 @@ SELECT request_id, site, post_id, CASE WHEN invalid IS NULL THEN n END::BIGINT A
             WHEN site IS NULL THEN 'Must provide the site associated with the id.' END AS error_description
 FROM v"""
 
+_ANSWER_SQL = """
+SELECT m.request_id, m.site, m.post_id, m.success, round(s.score, 6) AS score, s.score >= 0.5 AS notify, m.error
+FROM m LEFT JOIN scored s ON m.success AND m.site = s.site AND m.post_id = s.post_id"""
+
 _COMMAND_SQL = """
 WITH c AS (
   SELECT event_id, user_id::VARCHAR AS u, CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'label'
@@ -406,6 +422,10 @@ QUERIES = {
     ),
     "command_args": (command_args, _COMMAND_SQL),
     "service_requests": (service_requests, _SERVICE_SQL),
+    "classify_answers": (
+        classify_answers,
+        B.with_tables(_ANSWER_SQL, f"m AS ({_CLASSIFY_SQL})", B.POSTS, B.SCORED),
+    ),
     "classify_requests": (classify_requests, _CLASSIFY_SQL),
     "label_topk": (
         label_topk,

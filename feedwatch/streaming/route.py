@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import routing
+from ..operators.sites import SiteModel
 
 
 def stream_messages(
@@ -39,3 +40,28 @@ def start_router(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def start_classifier(
+    posts: DataFrame,
+    model: SiteModel,
+    out: str,
+    checkpoint: str,
+    threshold: float = routing.NOTIFICATION_THRESHOLD,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Posts as a stream (with set_notify and skip_write) scored by a fitted model and routed.
+
+    The model's stages run in the stream's own plan: no table of scores is read or joined.
+    """
+    scored = model.score(routing.to_classify(posts))
+    return (
+        routing.route(scored, threshold)
+        .select("site", "post_id", "url", "set_notify", "skip_write", "score", "classify_error")
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from feedwatch.operators import features, labelling, model, stats
 from feedwatch.sources import schemas as S
 from feedwatch.sources import tables
+from feedwatch.streaming.route import start_classifier
 
 
 def posts(spark, rows):
@@ -145,3 +146,15 @@ def test_statistics_of_no_posts(spark):
     row = stats.corpus_stats(none).first()
     assert row["post_count"] == 0 and row["notification_rate"] is None
     assert "nan%" in stats.statistics_report(none).where("line_no = 1").first()["line"]
+
+
+def test_a_stream_of_posts_is_scored_by_the_model(spark, tmp_path):
+    fitted = model.train(toy(spark))
+    landed = toy(spark).withColumn("set_notify", F.lit(None).cast("boolean")).withColumn("skip_write", F.lit(False))
+    landed.write.parquet(str(tmp_path / "landing"))
+    stream = spark.readStream.schema(landed.schema).parquet(str(tmp_path / "landing"))
+    out = str(tmp_path / "out")
+    start_classifier(stream, fitted, out, str(tmp_path / "checkpoint"), threshold=0.5).awaitTermination()
+    got = {r["post_id"]: round(r["score"], 9) for r in spark.read.parquet(out).collect()}
+    want = {r["post_id"]: round(r["score"], 9) for r in fitted.score(toy(spark)).where("score > 0.5").collect()}
+    assert got == want and want
