@@ -109,7 +109,8 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REP
     aimed = apportion(aimed, ["__all"], keys, "target", "blocks").drop("__all", "blocks")
     aimed = aimed.withColumnRenamed("quota", "source_quota").withColumn("shards", F.ceil((F.col("source_size") + 1) / shard_words))
     placed = sized.withColumn("place", hashed(F.col("doc_id")))
-    placed = placed.join(aimed, keys).withColumn("shard", F.col("place") % F.col("shards"))
+    # dealt by shard at once: a partitioning by source would put a hot source's documents in one task
+    placed = placed.join(aimed, keys).withColumn("shard", F.col("place") % F.col("shards")).repartition(*keys, "shard")
     shards = placed.groupBy(*keys, "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     shards = apportion(shards, keys, ["shard"], "words", "source_quota")
     asked = F.least(F.col("quota") * block_words, F.col("words") * repeats)
