@@ -91,7 +91,7 @@ def found_windows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     begin = F.col("at") - F.col("place")
     met = met.withColumn("begin", begin).withColumn("length", F.size("window")).withColumn("n_words", F.size("words"))
     fits = (F.col("begin") >= 0) & (F.col("begin") + F.col("length") <= F.col("n_words"))
-    # try_element_at is cheap and rejects nearly all candidates before the slice is made
+    # the first word rejects nearly all candidates before a slice is made
     ends = F.try_element_at("words", F.col("begin") + 1) == F.try_element_at("window", F.lit(1))
     same = ends & (F.slice("words", F.col("begin") + 1, F.col("length")) == F.col("window"))
     met = met.where((F.col("prefix") == "") | F.when(fits, same).otherwise(False))
@@ -112,7 +112,6 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     end = docs.sparkSession.range(1).select(
         F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"), F.lit("").alias("prefix"), F.lit(0).alias("place")
     )
-    # the repartition to one task is of one slice at most, and gives the broadcast a single file
     met = reduce(DataFrame.unionAll, [found_windows(numbered, p.unionAll(end)) for p in parts])
     span = F.when(F.col("length") > 0, F.struct(F.col("begin").cast("int").alias("begin"), (F.col("begin") + F.col("length")).cast("int").alias("end")))
     by = met.groupBy("row").agg(
