@@ -22,7 +22,7 @@ together c(w), c(hw) and every text that asks for them. Each part returns
 They are stored as one table partitioned by kind. Score and table grow with the corpus.
 
 Hot words. A word or pair with a share of the tokens above ``SHARE`` is counted exactly
-beforehand; there are at most 2 / SHARE such words and pairs whatever the corpus, so their counts are
+beforehand; there are about 1 / SHARE such words and pairs at most whatever the corpus, so their counts are
 broadcast. A hot pair never leaves its block, and the other pairs of a hot word are dealt by
 the pair instead of the word, since c(w) is known everywhere. So no key's tokens meet in one
 task; parts grow in number with the tokens.
@@ -30,7 +30,7 @@ task; parts grow in number with the tokens.
 Null and empty texts have the end token alone. Repeated rows train and are scored one by one.
 A null id counts as empty text in the fold. With nothing to learn from, all words are unknown
 with probability 1. An empty table gives an empty result. Extra columns aren't read. Words are
-compared by 64-bit hashes.
+compared by 64-bit hashes, histories by 48 of these bits.
 """
 
 from __future__ import annotations
@@ -51,14 +51,20 @@ HELD_OUT = 1
 K = 5
 TAIL = 0.1
 SHARE = 1e-5
+#: Hot keys are looked for in one of so many texts.
+SAMPLED = 16
 #: Hot words and pairs occur at least so often, which keeps their counts above K.
 HOT_LEAST = 1000
 BLOCK_TOKENS = 1_500_000
-PART_TOKENS = 2_000_000
+PART_TOKENS = 3_000_000
+#: A part is worked on in so many slices of its words.
+SLICES = 8
 #: Hashes no word has: a word's hash that falls on one of them moves on.
 START, END = 1, 2
+#: Histories are told apart by so many bits of their hash; words by all 64.
+HISTORY_BITS = np.uint64((1 << 48) - 1)
 
-TEXT = [f"d{k}" for k in range(8 + 2 * K)]  # see Sums
+TEXT = [f"d{k}" for k in range(6 + 2 * K)]  # see Sums
 
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -105,11 +111,11 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         yield block
 
 
-def frequent(rows: DataFrame, share: float) -> DataFrame:
-    """(pair, h, w, n): words (pair false, h 0) and pairs often enough in their blocks to be hot ones.
+def candidates(rows: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and h and w of pairs, that look hot in one of ``SAMPLED`` texts; and the pairs' keys.
 
-    A key with the global share has n of half its count at least. Also, with h and w 0, the
-    tokens (pair false) and texts (pair true) that train, which every block adds.
+    This only chooses which keys are handled apart: their counts, like all others, are exact
+    counts over all texts, and the result is the same whatever is chosen.
     """
 
     def count(batches):
@@ -117,22 +123,29 @@ def frequent(rows: DataFrame, share: float) -> DataFrame:
             h, w, text, train = block.arrays()
             kept = train[text]
             h, w = h[kept], w[kept]
-            out = [(False, 0, 0, len(w)), (True, 0, 0, int(train.sum()))]
             least = max(2, int(len(w) * share / 2))
             for pair, keys in ((False, w), (True, pair_key(h, w))):
                 _, first, times = np.unique(keys, return_index=True, return_counts=True)
-                often = times >= least
-                out += [(pair, int(h[i]) if pair else 0, int(w[i]), int(n)) for i, n in zip(first[often], times[often], strict=True)]
-            yield from packed(out)
-
-    return rows.mapInArrow(count, "pair boolean, h long, w long, n long").groupBy("pair", "h", "w").agg(F.sum("n").alias("n"))
+                first, times = first[times >= least], times[times >= least]
+                yield packed(np.full(len(first), pair), h[first] if pair else np.zeros(len(first), np.uint64), w[first], times)
+            yield packed(np.array([False]), np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([len(w)]))
+
+    sampled = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0)
+    found = stored(sampled.mapInArrow(count, "pair boolean, h long, w long, n long").groupBy("pair", "h", "w").agg(F.sum("n").alias("n")), "frequent")
+    tokens = found.where("h = 0 AND w = 0").agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_LEAST / SAMPLED, tokens * share)
+    often = found.where((F.col("w") != 0) & (F.col("n") >= least)).select("pair", "h", "w").toPandas()
+    h, w = (often[c].to_numpy(np.int64).view(np.uint64) for c in ("h", "w"))
+    pair = often["pair"].to_numpy(bool)
+    words = w[~pair]
+    inside = pair.copy()
+    inside[pair] = np.isin(w[pair], words)
+    return words, h[inside], w[inside]
 
 
-def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        pair, h, w, n = zip(*rows, strict=True)
-        signed = [np.array(x, np.uint64).view(np.int64) for x in (h, w)]
-        yield pa.RecordBatch.from_arrays([pa.array(pair), *map(pa.array, signed), pa.array(n, pa.int64())], names=["pair", "h", "w", "n"])
+def packed(pair: np.ndarray, h: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(pair), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["pair", "h", "w", "n"])
 
 
 class Hot:
@@ -158,55 +171,54 @@ class Hot:
 
 
 def hot_keys(rows: DataFrame, share: float) -> tuple[Hot, int, int]:
-    """Hot words and pairs, and the numbers of tokens and texts that train.
+    """Hot words and pairs with exact counts, and the numbers of tokens and texts that train.
 
-    At most 2 / share keys of either kind come to the driver.
+    At most 1 / share keys of either kind come to the driver. A key that turns out to occur
+    less than HOT_LEAST times is not hot, so that hot counts are above K.
     """
-    found = stored(frequent(rows, share), "frequent")
-    total = {r["pair"]: r["n"] for r in found.where("h = 0 AND w = 0").collect()}
-    tokens, texts = total.get(False, 0) or 0, total.get(True, 0) or 0
-    least = max(HOT_LEAST, tokens * share / 2)
-    often = found.where((F.col("w") != 0) & (F.col("n") >= least)).select("pair", "h", "w").toPandas()
-    h, w = (often[c].to_numpy(np.int64).view(np.uint64) for c in ("h", "w"))
-    pair = often["pair"].to_numpy(bool)
-    words = w[~pair]
-    inside = pair.copy()
-    inside[pair] = np.isin(w[pair], words)
-    hot = Hot(words, np.zeros(len(words), np.int64), h[inside], w[inside], np.zeros(int(inside.sum()), np.int64))
-    if len(words):
-        plain = rows.sparkSession.sparkContext.broadcast(hot.parts())
-
-        def count(batches):
-            keys = Hot(*plain.value)
-            for block in blocks(batches):
-                h, w, text, train = block.arrays()
-                kept = train[text]
-                out = []
-                for pair, known, seen in ((False, keys.words, w[kept]), (True, keys.pairs, pair_key(h[kept], w[kept]))):
-                    found, times = np.unique(seen, return_counts=True)
-                    here, at, _ = np.intersect1d(found, known, return_indices=True)
-                    out += [(pair, 0, int(k), int(n)) for k, n in zip(here, times[at], strict=True)]
-                yield from packed(out)
-
-        exact = rows.mapInArrow(count, "pair boolean, h long, w long, n long").groupBy("pair", "w").agg(F.sum("n").alias("n")).toPandas()
-        keys, n, pair = exact["w"].to_numpy(np.int64).view(np.uint64), exact["n"].to_numpy(np.int64), exact["pair"].to_numpy(bool)
-        for goal, chosen in ((hot.words, ~pair), (hot.pairs, pair)):
-            order = np.argsort(keys[chosen])
-            counts = Hot.look(keys[chosen][order], n[chosen][order], goal)
-            if goal is hot.words:
-                hot.word_counts = counts
-            else:
-                hot.pair_counts = counts
-    return hot, tokens, texts
+    words, h, w = candidates(rows, share)
+    none = np.zeros(0, np.int64)
+    hot = Hot(words, np.zeros(len(words), np.int64), h, w, np.zeros(len(h), np.int64))
+    plain = rows.sparkSession.sparkContext.broadcast(hot.parts())
+
+    def count(batches):
+        keys = Hot(*plain.value)
+        for block in blocks(batches):
+            h, w, text, train = block.arrays()
+            kept = train[text]
+            h, w = h[kept], w[kept]
+            yield packed(np.array([False, True]), np.ones(2, np.uint64), np.zeros(2, np.uint64), np.array([len(w), train.sum()]))
+            for pair, known, seen in ((False, keys.words, w), (True, keys.pairs, pair_key(h, w))):
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, seen), len(known) - 1)
+                    times = np.bincount(at[known[at] == seen], minlength=len(known))
+                    here = np.flatnonzero(times)
+                    yield packed(np.full(len(here), pair), np.zeros(len(here), np.uint64), known[here], times[here])
+
+    exact = rows.mapInArrow(count, "pair boolean, h long, w long, n long").groupBy("pair", "h", "w").agg(F.sum("n").alias("n")).toPandas()
+    total = exact["h"].to_numpy() == 1
+    pair, n = exact["pair"].to_numpy(bool), exact["n"].to_numpy(np.int64)
+    tokens, texts = (int(n[total & (pair == p)].sum()) for p in (False, True))
+    keys = exact["w"].to_numpy(np.int64).view(np.uint64)
+    counted = []
+    for goal, chosen in ((hot.words, ~pair & ~total), (hot.pairs, pair & ~total)):
+        order = np.argsort(keys[chosen])
+        counted.append(Hot.look(keys[chosen][order], n[chosen][order], goal))
+    kept = counted[0] >= HOT_LEAST
+    words, word_counts = hot.words[kept], counted[0][kept]
+    kept = (counted[1] >= HOT_LEAST) & np.isin(hot.w, words)
+    if not len(words):
+        return Hot(words, none, hot.h[:0], hot.w[:0], none), tokens, texts
+    return Hot(words, word_counts, hot.h[kept], hot.w[kept], counted[1][kept]), tokens, texts
 
 
 class Sums:
     """Sums of each text over its tokens, in the columns of TEXT.
 
-    0 tokens, 1 known tokens, 2 log10(c(w) + 0.5), 3 log10 of the counts of seen pairs (above K:
-    less TAIL) less log10 c(w) of words that are histories, 4 log10 of the counts of words after
-    unseen pairs (above K: less TAIL) , 5 words with c(w) = 0 after unseen pairs, 6 tokens of
-    unseen pairs, 7 unused; then seen pairs by count 1..K, and words after unseen pairs by count 1..K.
+    0 tokens, 1 known tokens, 2 log10(c(w) + 0.5), 3 log10 of the counts of seen pairs, and of
+    words of unseen pairs (counts above K less TAIL), less log10 c(w) of words that are
+    histories, 4 words with c(w) = 0 of unseen pairs, 5 tokens of unseen pairs; then seen pairs
+    by count 1..K, and words of unseen pairs by count 1..K.
     """
 
     @staticmethod
@@ -223,18 +235,16 @@ class Sums:
             add(np.ones(len(text))),
             add(known),
             add(np.log10(cw + 0.5)),
-            add(np.where(seen, log(chw), 0.0) - np.where(history, np.log10(np.maximum(cw, 1)), 0.0)),
-            add(np.where(seen | ~known, 0.0, log(cw))),
+            add(np.where(seen, log(chw), np.where(known, log(cw), 0.0)) - np.where(history, np.log10(np.maximum(cw, 1)), 0.0)),
             add(~seen & ~known),
             add(~seen),
-            np.zeros(texts),
         ]
         out += [add(chw == r) for r in range(1, K + 1)]
         out += [add(~seen & (cw == r)) for r in range(1, K + 1)]
         return np.stack(out, axis=1)
 
 
-REQUEST = "part int, words binary, pairs_of binary, hists binary, texts_of binary, texts binary, rows array<long>, ids array<long>, train binary"
+REQUEST = "part int, first_row long, n_texts int, train binary, words binary, pairs_of binary, hists binary, texts_of binary, texts binary, ids array<long>"
 RESULT_FIELDS = [("kind", pa.string()), ("row", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), *[(c, pa.float64()) for c in TEXT]]
 RESULT = ", ".join(["kind string", "row long", "id long", "h long", *[f"{c} double" for c in TEXT]])
 RESULT_SCHEMA = pa.schema(RESULT_FIELDS)
@@ -255,46 +265,51 @@ def result(kind: str, n: int, columns: dict, sums: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(out, schema=RESULT_SCHEMA)
 
 
+def pieces(kind: str, columns: dict, sums: np.ndarray, size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(sums), size):
+        part = sums[at : at + size]
+        yield result(kind, len(part), {c: v[at : at + size] for c, v in columns.items()}, part)
+
+
 def requests(block: Block, hot: Hot, parts: int) -> Iterator[dict]:
-    """The block's distinct pairs by part, and first, as part -1, what hot pairs give its texts."""
+    """The block's distinct pairs by part; and, as a negative part, its ids and what hot pairs give its texts.
+
+    The rows of a block follow each other, so the first stands for all.
+    """
     h, w, text, train = block.arrays()
     key = pair_key(h, w)
     chw = Hot.look(hot.pairs, hot.pair_counts, key)
     local = chw > 0
+    sums = Sums.of(text[local], len(block.rows), w[local], Hot.look(hot.words, hot.word_counts, w[local]), chw[local])
+    of_block = {"first_row": block.rows[0], "n_texts": len(block.rows), "train": np.packbits(train).tobytes()}
+    yield {"part": -1 - block.rows[0] % parts, **of_block, "words": sums.tobytes(), "ids": block.ids}
     if local.any():
-        cw = Hot.look(hot.words, hot.word_counts, w[local])
-        sums = Sums.of(text[local], len(block.rows), w[local], cw, chw[local])
-        kept = sums[:, 0] > 0
-        yield {
-            "part": -1,
-            "words": sums[kept].tobytes(),
-            "rows": [r for r, k in zip(block.rows, kept, strict=True) if k],
-            "ids": [r for r, k in zip(block.ids, kept, strict=True) if k],
-        }
         h, w, text, key = (x[~local] for x in (h, w, text, key))
     spread = Hot.look(hot.words, hot.word_counts, w) > 0
     part = (np.where(spread, key, w * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % np.uint64(parts)
     order = np.lexsort((h, w, part))
-    h, w, text, part = (x[order] for x in (h, w, text, part))
+    h, w, text, part = (x[order] for x in (h & HISTORY_BITS, w, text, part))
     for p, lo, hi in runs(part):
         hp, wp, tp = h[lo:hi], w[lo:hi], text[lo:hi]
-        new = np.concatenate([[True], (hp[1:] != hp[:-1]) | (wp[1:] != wp[:-1])])
-        first = np.flatnonzero(new)
-        words, at = np.unique(wp[first], return_index=True)
-        here, numbers = np.unique(tp, return_inverse=True)
+        first = np.flatnonzero(np.concatenate([[True], (hp[1:] != hp[:-1]) | (wp[1:] != wp[:-1])]))
+        at = np.flatnonzero(np.concatenate([[True], wp[first][1:] != wp[first][:-1]]))
         yield {
             "part": int(p),
-            "words": words.tobytes(),
+            **of_block,
+            "words": wp[first][at].tobytes(),
             "pairs_of": np.diff(np.append(at, len(first))).astype(np.uint32).tobytes(),
-            "hists": hp[first].tobytes(),
+            "hists": hp[first].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(),
             "texts_of": np.diff(np.append(first, len(wp))).astype(np.uint32).tobytes(),
-            "texts": numbers.astype(np.uint16).tobytes(),
-            "rows": [block.rows[i] for i in here],
-            "ids": [block.ids[i] for i in here],
-            "train": train[here].tobytes(),
+            "texts": tp.astype(np.uint16).tobytes(),
         }
 
 
+def six_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, first, end) of each run of equal values."""
     edges = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
@@ -302,24 +317,47 @@ def runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield x[lo], int(lo), int(hi)
 
 
-def answer(part: pa.Table, hot: Hot) -> Iterator[pa.RecordBatch]:
+def answer(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[pa.RecordBatch]:
     """What one part knows: see the module's text."""
-    held = part.to_batches()
-    sent = [dict(zip(part.schema.names, row, strict=True)) for b in held for row in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-    if sent[0]["part"] < 0:
-        for s in sent:
-            sums = np.frombuffer(s["words"]).reshape(-1, len(TEXT))
-            yield result("text", len(sums), {"row": s["rows"], "id": s["ids"]}, sums)
+    w, h, times, rows, text, trains, known = [], [], [], [], [], [], 0
+    for b in batches:
+        for q in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
+            if q["part"] < 0:
+                block = np.arange(q["n_texts"]) + q["first_row"]
+                yield result("text", len(block), {"row": block, "id": q["ids"]}, np.frombuffer(q["words"]).reshape(-1, len(TEXT)))
+                continue
+            w.append(np.repeat(np.frombuffer(q["words"], np.uint64), np.frombuffer(q["pairs_of"], np.uint32)))
+            h.append(six_bytes(q["hists"]))
+            times.append(np.frombuffer(q["texts_of"], np.uint32))
+            here, number = np.unique(np.frombuffer(q["texts"], np.uint16), return_inverse=True)
+            rows.append(here + np.int64(q["first_row"]))
+            text.append((number + known).astype(np.int32))
+            trains.append(np.unpackbits(np.frombuffer(q["train"], np.uint8), count=q["n_texts"]).astype(bool)[here])
+            known += len(here)
+    if not w:
         return
-    read = {c: [np.frombuffer(s[c], t) for s in sent] for c, t in (("words", np.uint64), ("pairs_of", np.uint32), ("hists", np.uint64), ("texts_of", np.uint32), ("texts", np.uint16), ("train", bool))}
-    w = np.concatenate([np.repeat(a, n) for a, n in zip(read["words"], read["pairs_of"], strict=True)])
-    h = np.concatenate(read["hists"])
-    times = np.concatenate(read["texts_of"]).astype(np.int64)
-    offsets = np.cumsum([0] + [len(s["rows"]) for s in sent])
-    text = np.concatenate([t.astype(np.int64) + o for t, o in zip(read["texts"], offsets[:-1], strict=True)])
-    trains = np.concatenate(read["train"])[text]
+    w, h, times, rows, text, trains = (np.concatenate(x) for x in (w, h, times, rows, text, trains))
+    starts = np.cumsum(times, dtype=np.int64) - times
+    sums, counts = np.zeros((len(rows), len(TEXT))), 0.0
+    for k in range(SLICES):
+        pairs = np.flatnonzero((w >> np.uint64(3)) % np.uint64(SLICES) == k)
+        if len(pairs):
+            n = times[pairs].astype(np.int64)
+            tokens = np.repeat(starts[pairs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own, (keys, by_history), (asked, hists, n), found = answer_slice(w[pairs], h[pairs], n, text[tokens], trains, hot)
+            sums += own
+            counts = counts + found
+            yield from pieces("history", {"h": keys.view(np.int64)}, by_history)
+            yield from pieces("unseen", {"row": rows[asked], "h": hists.view(np.int64)}, n[:, None].astype(float))
+    yield from pieces("text", {"row": rows}, sums)
+    yield result("counts", 1, {}, counts[None, :])
+
+
+def answer_slice(w: np.ndarray, h: np.ndarray, times: np.ndarray, text: np.ndarray, train: np.ndarray, hot: Hot) -> tuple:
+    """Of pairs sent (each with ``times`` tokens, whose texts follow each other in ``text``):
+    sums by text, sums by history, (text, history, tokens) of pairs training lacks, and counts of counts."""
     ends = np.cumsum(times)
-    learnt = np.concatenate([[0], np.cumsum(trains)])
+    learnt = np.concatenate([[0], np.cumsum(train[text])])
     learnt = learnt[ends] - learnt[ends - times]
     # equal pairs of different blocks together
     order = np.lexsort((h, w))
@@ -327,39 +365,31 @@ def answer(part: pa.Table, hot: Hot) -> Iterator[pa.RecordBatch]:
     new_word = np.concatenate([[True], ws[1:] != ws[:-1]])
     new = new_word | np.concatenate([[True], hs[1:] != hs[:-1]])
     pair_at, word_at = np.cumsum(new) - 1, np.cumsum(new_word) - 1
-    chw = np.bincount(pair_at, learnt[order])
-    in_part = np.bincount(word_at, learnt[order])
+    chw = np.bincount(pair_at, learnt[order]).astype(np.int64)
+    in_part = np.bincount(word_at, learnt[order]).astype(np.int64)
     distinct = np.flatnonzero(new)
     hw, ww, word_of = hs[distinct], ws[distinct], word_at[distinct]
-    words = ws[np.flatnonzero(new_word)]
-    hot_count = Hot.look(hot.words, hot.word_counts, words)
-    cw = np.where(hot_count > 0, hot_count, in_part)
+    hot_count = Hot.look(hot.words, hot.word_counts, ws[np.flatnonzero(new_word)])
+    cw = np.where(hot_count > 0, hot_count, in_part)[word_of]
     pair_of = np.empty(len(order), np.int64)
     pair_of[order] = pair_at
     token_pair = np.repeat(pair_of, times)
-    sums = Sums.of(text, int(offsets[-1]), ww[token_pair], cw[word_of[token_pair]], chw[token_pair])
-    rows = [r for s in sent for r in s["rows"]]
-    yield result("text", len(rows), {"row": rows, "id": [i for s in sent for i in s["ids"]]}, sums)
-    # pairs that training has, by history
+    sums = Sums.of(text, len(train), ww[token_pair], cw[token_pair], chw[token_pair])
     seen = chw > 0
-    yield from histories(hw[seen], chw[seen], cw[word_of][seen])
-    # tokens whose pair training lacks
-    lacking = np.flatnonzero(~seen[token_pair])
-    if len(lacking):
-        asked, n = np.unique(np.stack([text[lacking], token_pair[lacking]]), axis=1, return_counts=True)
-        yield result("unseen", len(n), {"row": np.array(rows, np.int64)[asked[0]], "h": hw[asked[1]].view(np.int64)}, n[:, None].astype(float))
+    unseen = np.flatnonzero(~seen[token_pair])
+    asked, n = np.unique(np.stack([text[unseen].astype(np.int64), token_pair[unseen]]), axis=1, return_counts=True) if len(unseen) else (np.zeros((2, 0), np.int64), np.zeros(0, int))
     own = in_part[hot_count == 0]
-    yield result("counts", 1, {}, np.array([[(own > 0).sum(), 0, *[(own == r).sum() for r in range(1, K + 2)], *[(chw == r).sum() for r in range(1, K + 2)]]], float))
+    counts = np.array([(own > 0).sum(), 0, *[(own == r).sum() for r in range(1, K + 2)], *[(chw == r).sum() for r in range(1, K + 2)]], float)
+    return sums, histories(hw[seen], chw[seen], cw[seen]), (asked[0], hw[asked[1]], n), counts
 
 
-def histories(h: np.ndarray, chw: np.ndarray, cw: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For each h: pairs above K, pairs of count 1..K, sum of c(w) - TAIL above K, words of count 1..K."""
-    if not len(h):
-        return
+def histories(h: np.ndarray, chw: np.ndarray, cw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each h: pairs above K, pairs of count 1..K, sum of c(w) above K, words of count 1..K, words above K."""
     keys, at = np.unique(h, return_inverse=True)
-    sums = [np.bincount(at, chw > K), *[np.bincount(at, chw == r) for r in range(1, K + 1)]]
-    sums += [np.bincount(at, np.where(cw > K, cw - TAIL, 0.0)), *[np.bincount(at, cw == r) for r in range(1, K + 1)]]
-    yield result("history", len(keys), {"h": keys.view(np.int64)}, np.stack(sums, axis=1))
+    n = len(keys)
+    sums = [np.bincount(at, chw > K, n), *[np.bincount(at, chw == r, n) for r in range(1, K + 1)]]
+    sums += [np.bincount(at, np.where(cw > K, cw, 0), n), *[np.bincount(at, cw == r, n) for r in range(1, K + 1)], np.bincount(at, cw > K, n)]
+    return keys, np.stack(sums, axis=1)
 
 
 def discounts(n: list[float]) -> list[float]:
@@ -385,23 +415,16 @@ def katz_scores(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
     def ask(batches):
         keys = Hot(*shared.value)
         names = [c.split()[0] for c in REQUEST.split(", ")]
-        kinds = [pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())]
         for block in blocks(batches):
             for r in requests(block, keys, parts):
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(n)], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    def answered(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(answer(group, Hot(*shared.value))), RESULT_SCHEMA)
-
-    def own(batches):
-        for b in batches:
-            if b.num_rows:
-                yield from answer(pa.Table.from_batches([b]), Hot(*shared.value))
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from answer(batches, Hot(*shared.value))
 
     asked = rows.mapInArrow(ask, REQUEST)
-    made = asked.where("part >= 0").groupBy("part").applyInArrow(answered, RESULT)
-    here = asked.where("part < 0").mapInArrow(own, RESULT) if len(hot.pairs) else None
-    found = kept_apart(made if here is None else made.unionAll(here), "katz")
+    found = kept_apart(asked.groupBy("part").applyInArrow(answered, RESULT), "katz")
     count = [f"d{k}" for k in range(2 + 2 * (K + 1))]
     total = found.where("kind = 'counts'").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in count]).first()
     vocabulary = total["d0"] + len(hot.words)
@@ -411,25 +434,25 @@ def katz_scores(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
     above = vocabulary - sum(n1)
     unknown = (sum(r * n * (1 - d) for r, n, d in zip(range(1, K + 1), n1, d1, strict=True)) + TAIL * above) / tokens if tokens else 1.0
     # back-off weights
-    history = found.where("kind = 'history'").select("h", *TEXT[: 2 * K + 2])
+    history = found.where("kind = 'history'").select("h", *TEXT[: 2 * K + 3])
     if len(hot.pairs):
-        by_hot = pd.DataFrame({"h": hot.h.view(np.int64), "d0": 1.0, f"d{K + 1}": Hot.look(hot.words, hot.word_counts, hot.w) - TAIL})
-        extra = spark.createDataFrame(by_hot).select("h", *[F.col(c) if c in ("d0", f"d{K + 1}") else F.lit(0.0).alias(c) for c in TEXT[: 2 * K + 2]])
+        by_hot = pd.DataFrame({"h": (hot.h & HISTORY_BITS).view(np.int64), "d0": 1.0, f"d{K + 1}": Hot.look(hot.words, hot.word_counts, hot.w).astype(float), f"d{2 * K + 2}": 1.0})
+        extra = spark.createDataFrame(by_hot).select("h", *[F.col(c) if c in by_hot else F.lit(0.0).alias(c) for c in TEXT[: 2 * K + 3]])
         history = history.unionAll(extra)
-    weights = history.groupBy("h").agg(*[F.sum(c).alias(c) for c in TEXT[: 2 * K + 2]])
+    weights = history.groupBy("h").agg(*[F.sum(c).alias(c) for c in TEXT[: 2 * K + 3]])
     left = TAIL * F.col("d0") + sum(F.col(f"d{r}") * (r * (1 - d2[r - 1])) for r in range(1, K + 1))
-    covered = (F.col(f"d{K + 1}") + sum(F.col(f"d{K + 1 + r}") * (r * d1[r - 1]) for r in range(1, K + 1))) / max(1, tokens)
+    covered = (F.col(f"d{K + 1}") - TAIL * F.col(f"d{2 * K + 2}") + sum(F.col(f"d{K + 1 + r}") * (r * d1[r - 1]) for r in range(1, K + 1))) / max(1, tokens)
     weights = weights.select("h", F.log10(left / (1 - covered)).alias("weight"))
     unseen = found.where("kind = 'unseen'").select("row", "h", F.col("d0").alias("n")).join(weights, "h")
     backed = unseen.groupBy("row").agg(F.sum(F.col("n") * F.col("weight")).alias("backed"))
-    sums = found.where("kind = 'text'").groupBy("row", "id").agg(*[F.sum(c).alias(c) for c in TEXT])
+    sums = found.where("kind = 'text'").groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in TEXT])
     log = [float(np.log10(r * d)) for r, d in zip(range(1, K + 1), d2, strict=True)]
     log1 = [float(np.log10(r * d)) for r, d in zip(range(1, K + 1), d1, strict=True)]
-    # pairs of count r <= K have log10 r in d3 already, words in d4
-    score = F.col("d3") + F.col("d4") - (float(np.log10(texts)) if texts else 0.0)
-    score += sum(F.col(f"d{7 + r}") * (log[r - 1] - float(np.log10(r))) for r in range(1, K + 1))
-    score += sum(F.col(f"d{7 + K + r}") * (log1[r - 1] - float(np.log10(r))) for r in range(1, K + 1))
-    score += F.col("d5") * float(np.log10(unknown)) - (F.col("d6") - F.col("d5")) * (float(np.log10(tokens)) if tokens else 0.0)
+    # d3 has log10 r of pairs and words of count r <= K already
+    score = F.col("d3") - (float(np.log10(texts)) if texts else 0.0)
+    score += sum(F.col(f"d{5 + r}") * (log[r - 1] - float(np.log10(r))) for r in range(1, K + 1))
+    score += sum(F.col(f"d{5 + K + r}") * (log1[r - 1] - float(np.log10(r))) for r in range(1, K + 1))
+    score += F.col("d4") * float(np.log10(unknown)) - (F.col("d5") - F.col("d4")) * (float(np.log10(tokens)) if tokens else 0.0)
     base = F.col("d2") - F.col("d0") * float(np.log10(tokens + 0.5 * (vocabulary + 1)))
     return sums.join(backed, "row", "left").select(
         F.col("id").alias(doc_id),
@@ -445,9 +468,16 @@ def kept_apart(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored below the shared folder, partitioned by kind, and read again."""
     from ..conf import shared_dir
 
-    path = shared_dir(df.sparkSession, name)
-    df.write.partitionBy("kind").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    # the pairs' shuffle is the largest of all; its files go as soon as the table is written
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
