@@ -58,7 +58,7 @@ HOT_LEAST = 1000
 BLOCK_TOKENS = 1_500_000
 PART_TOKENS = 3_000_000
 #: A part is worked on in so many slices of its words.
-SLICES = 8
+SLICES = 16
 #: Hashes no word has: a word's hash that falls on one of them moves on.
 START, END = 1, 2
 #: Histories are told apart by so many bits of their hash; words by all 64.
@@ -469,14 +469,17 @@ def kept_apart(df: DataFrame, name: str) -> DataFrame:
     from ..conf import shared_dir
 
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    # the pairs' shuffle is the largest of all; its files go as soon as the table is written
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, "false")
-    spark.conf.set(setting, "true")
+    # the pairs' shuffle is the largest of all: its files go as soon as the table is written;
+    # a task writes the few kinds side by side instead of sorting its rows by kind
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
