@@ -55,8 +55,8 @@ SHARE = 1e-5
 SAMPLED = 16
 #: Hot words and pairs occur at least so often, which keeps their counts above K.
 HOT_LEAST = 1000
-BLOCK_TOKENS = 1_500_000
-PART_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
+PART_TOKENS = 2_000_000
 #: A part is worked on in so many slices of its words.
 SLICES = 16
 #: Hashes no word has: a word's hash that falls on one of them moves on.
