@@ -136,6 +136,29 @@ def url_model(spark):
     return url_filter.train(url_filter.labelled_urls(spark))
 
 
+def test_url_table_is_not_read_off_the_pages(spark):
+    labelled = url_filter.labelled_urls(spark)
+    hosts = {r["host"] for r in table(spark, SF.replace("0.001", "0.1"), "pages").select(url_filter.split_url(F.col("url"))[0].alias("host")).distinct().collect()}
+    labels = {part for h in hosts for part in h.split(".")} - {"www", "m", "blog", "example", "com", "net", "org"}
+    names = {r["name"] for r in labelled.select("name").distinct().collect()}
+    assert labels and not names & labels
+    assert not names & {"thing", "ther", "tion", "ing", "station", "theory", "either"}
+
+
+def test_urls_of_names_left_out_of_training_are_judged(spark):
+    figures = url_filter.held_out_figures(url_filter.labelled_urls(spark))
+    assert figures["urls"] == url_filter.labelled_urls(spark).count()
+    assert figures["precision"] > 0.75 and figures["recall"] > 0.3
+
+
+def test_url_table_is_an_argument(spark, tmp_path):
+    (tmp_path / "sites.csv").write_text("name,label,topic\nzebra-qq,1,x\nplain-vv,0,x\n")
+    rows = url_filter.labelled_urls(spark, tmp_path / "sites.csv")
+    assert {(r["name"], r["label"]) for r in rows.collect()} == {("zebra-qq", 1), ("plain-vv", 0)}
+    urls = spark.createDataFrame([("http://my-zebra-qq.info",), ("http://my-plain-vv.info",)], "url string")
+    assert [r["verdict"] for r in url_filter.judge(urls, url_filter.train(rows)).collect()] == ["block", "allow"]
+
+
 def test_url_scores_equal_the_regression_by_hand(spark, url_model):
     urls = table(spark, SF, "pages").select("page_id", "url").limit(20)
     host, path = url_filter.split_url(F.col("url"))
