@@ -5,11 +5,15 @@ a text that holds a digit or an ``@``. Its potentials are
 
 * of a word: its shape, its number of digits, the word before it, and whether a base span covers it;
 * of neighbours: words that follow each other directly;
-* of skip edges: words anywhere in the text whose letters and digits are the same.
-
-Loopy message passing (sum-product, all messages at once) spreads what is certain along
-these edges, so a number that is a phone number in one place is one in the others too, even
-where it is written so that no pattern finds it. Words the field is sure of and no base span
+* of skip edges: words anywhere in the text whose letters and digits are the same. Each is linked
+  to the nearest ones before and after that a base span covers; where no span covers any of them, to the previous one.
+
+Words that a base span covers are observed: they send messages and take none. So a number that is
+a phone number in one place is one in the others too, even where it is written so that no pattern
+finds it, and each repeat is judged as a single one would be, however many there are and however
+far off: repeats of one covered number neither add up nor wear off. Among the other words, loopy
+message passing (sum-product) sweeps forward and backward through the text until messages settle;
+one sweep carries a message along a whole chain. Words the field is sure of and no base span
 covers become added spans, words that follow each other and have one label together.
 
 The potentials are fitted piece by piece, as smoothed log ratios of how often labels
@@ -47,7 +51,8 @@ EDGE = ".,;:!?()[]{}<>\"'"
 #: Documents the potentials are counted on, at most (about, by a hash of the text).
 SAMPLE = 20_000
 SURE = 0.9
-ROUNDS = 8
+#: Messages have settled when none changes by more. Loops needn't settle: sweeps stop at the given number then.
+SETTLED, SWEEPS = 1e-6, 100
 #: What a base span adds to its label, and the lack of one to "other".
 BASE_WEIGHT, NO_BASE_WEIGHT = 9.0, 3.0
 
@@ -126,7 +131,7 @@ class Graph:
                     self.base[k] = LABELS.index(kind)
                 k += 1
         self.features, self.near, self.skip = [], [], []
-        last: dict[str, int] = {}
+        places: dict[str, list[int]] = {}
         for k, (a, b) in enumerate(self.words):
             word = text[a:b].strip(EDGE)
             before = text[max(0, a - 24) : a].split()
@@ -136,9 +141,25 @@ class Graph:
                 self.near.append((k - 1, k))
             key = "".join(c for c in word.lower() if c.isalnum())
             if len(key) >= 3:
-                if key in last:
-                    self.skip.append((last[key], k))
-                last[key] = k
+                places.setdefault(key, []).append(k)
+                if len(places[key]) > 1:
+                    self.skip.append((places[key][-2], k))
+        #: Skip edges that messages take.
+        self.links = [edge for at in places.values() for edge in self.linked(at)]
+
+    def linked(self, places: list[int]) -> list[tuple[int, int]]:
+        """Each word of a key with the nearest covered ones on either side; without any, with the previous one."""
+        if not self.base[places].any():
+            return list(zip(places, places[1:], strict=False))
+        found = []
+        for way in (places, places[::-1]):
+            covered = None
+            for k in way:
+                if self.base[k]:
+                    covered = k
+                elif covered is not None:
+                    found.append((covered, k))
+        return found
 
     def events(self) -> Counter:
         """What the potentials are counted from."""
@@ -181,31 +202,50 @@ class Field:
         out[~sure, 0] += NO_BASE_WEIGHT
         return out
 
-    def marginals(self, g: Graph) -> np.ndarray:
+    def marginals(self, g: Graph, sweeps: int = SWEEPS) -> np.ndarray:
         """Loopy sum-product: P(label) of each word."""
-        belief = unary = self.unary(g)
-        pairs = [(i, j, kind) for kind, edges in (("near", g.near), ("skip", g.skip)) for i, j in edges]
-        if pairs:
-            e = len(pairs)
-            i, j = (np.array([p[k] for p in pairs]) for k in (0, 1))
-            source, goal = np.concatenate([i, j]), np.concatenate([j, i])
-            back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-            potential = np.stack([self.edge[p[2]] for p in pairs] * 2)
-            sent = np.zeros((2 * e, len(LABELS)))
-            for _ in range(ROUNDS):
-                x = (belief[source] - sent[back])[:, :, None] + potential
-                top = x.max(axis=1, keepdims=True)
-                new = (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0]
-                new -= new.max(axis=1, keepdims=True)
-                moved, sent = np.abs(new - sent).max(), new
-                belief = unary.copy()
-                np.add.at(belief, goal, sent)
-                if moved < 1e-6:
-                    break
+        belief = self.unary(g)
+        observed, free = [], []
+        for kind, edges in (("near", g.near), ("skip", g.links)):
+            for i, j in edges:
+                if not g.base[i] and not g.base[j]:
+                    free.append((i, j, self.edge[kind]))
+                elif not g.base[i] or not g.base[j]:
+                    observed.append((i, j, self.edge[kind]) if g.base[i] else (j, i, self.edge[kind]))
+        if observed:
+            source, goal = (np.array([e[k] for e in observed]) for k in (0, 1))
+            sent = message(belief[source], np.stack([e[2] for e in observed]))
+            np.add.at(belief, goal, sent)
+        # Forward by the earlier word, backward by the later one: what a word sends on, it has received before.
+        forward = sorted(range(len(free)), key=lambda e: free[e][0])
+        backward = sorted(range(len(free)), key=lambda e: -free[e][1])
+        sent = np.zeros((2, len(free), len(LABELS)))
+        for _ in range(sweeps if free else 0):
+            moved = 0.0
+            for way, order in enumerate((forward, backward)):
+                for e in order:
+                    i, j, potential = free[e]
+                    if way:
+                        i, j = j, i
+                    new = message(belief[i] - sent[1 - way, e], potential)
+                    change = new - sent[way, e]
+                    moved = max(moved, np.abs(change).max())
+                    belief[j] += change
+                    sent[way, e] = new
+            if moved < SETTLED:
+                break
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
+def message(belief: np.ndarray, potential: np.ndarray) -> np.ndarray:
+    """What a word (or each of many) with this belief sends along an edge with this (symmetric) potential."""
+    x = belief[..., None, :] + potential
+    top = x.max(axis=-1, keepdims=True)
+    new = (top + np.log(np.exp(x - top).sum(axis=-1, keepdims=True)))[..., 0]
+    return new - new.max(axis=-1, keepdims=True)
+
+
 def added_spans(text: str, g: Graph, field: Field) -> list[tuple[str, int, int]]:
     """Words the field is sure of and no base span covers; neighbours of one label together."""
     p = field.marginals(g)

@@ -1,5 +1,6 @@
 """The registered queries against SQL, brute force or held-out labels."""
 
+import itertools
 import math
 import os
 import random
@@ -227,6 +228,29 @@ def test_skip_edges_carry_a_label_to_where_no_pattern_matches(spark):
     assert personal_data.find("12 of 4111111111111112 and 2024 and 2024 (988) 555-2485", field) == ([], [])
 
 
+@pytest.mark.parametrize("repeats", [1, 9, 50, 1000])
+def test_a_number_is_marked_wherever_it_is_repeated(spark, repeats):
+    field = personal_data.train(table(spark, SF, "documents"))
+    for first, again in (("call +9885552485 today. ", "9885552485"), ("host 10.20.30.40 up. ", "10-20-30-40")):
+        for text in (first + f"Then again {again} for us. " * repeats, f"Then again {again} for us. " * repeats + first):
+            base, added = personal_data.find(text, field)
+            assert len(base) == 1 and len(added) == repeats
+            assert {(k, text[a:b]) for k, a, b in added} == {(base[0][0], again)}
+
+
+def test_messages_settle_on_the_exact_marginals_of_a_chain(spark):
+    field = personal_data.train(table(spark, SF, "documents"))
+    g = personal_data.Graph("tel 555-2485 " + "and 5552485 " * 5, [])
+    unary, labels = field.unary(g), range(len(personal_data.LABELS))
+    exact = np.zeros_like(unary)
+    for ys in itertools.product(labels, repeat=len(g.words)):
+        weight = np.exp(sum(unary[k, y] for k, y in enumerate(ys)) + sum(field.edge["skip"][ys[i], ys[j]] for i, j in g.skip))
+        for k, y in enumerate(ys):
+            exact[k, y] += weight
+    assert not g.near and len(g.skip) == 5
+    assert np.abs(field.marginals(g) - exact / exact.sum(axis=1, keepdims=True)).max() < 1e-6
+
+
 @pytest.mark.parametrize("hot", [None, 20])
 def test_katz_scores_equal_brute_force(spark, texts, monkeypatch, hot):
     if hot:
