@@ -30,10 +30,11 @@ def split_listing(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(~bad), parsed.where(bad).drop("published")
 
 
-def read_pages(listing: DataFrame, max_pages: int | None = None) -> DataFrame:
+def read_pages(listing: DataFrame, max_pages: int | None = None, stops: DataFrame | None = None) -> DataFrame:
     """Per page of a poll: row count and time range, up to the last page, and to the page cap if one is given.
 
-    A poll ends at its first page without ``has_more``.
+    A poll ends at its first page without ``has_more``; ``stops`` (POLL_KEYS, started_stop) has
+    the last pages found in earlier runs.
     """
     capped = listing if max_pages is None else listing.where(F.col("page") < max_pages)
     pages = capped.groupBy(*POLL_KEYS, "page").agg(
@@ -43,7 +44,10 @@ def read_pages(listing: DataFrame, max_pages: int | None = None) -> DataFrame:
         F.bool_and("has_more").alias("page_has_more"),
     )
     stop = F.min(F.when(~F.col("page_has_more"), F.col("page"))).over(Window.partitionBy(*POLL_KEYS))
-    return pages.withColumn("stop_page", stop).where(
+    pages = pages.withColumn("stop_page", stop)
+    if stops is not None:
+        pages = pages.join(stops, POLL_KEYS, "left").withColumn("stop_page", F.least("stop_page", "started_stop")).drop("started_stop")
+    return pages.where(
         F.col("stop_page").isNull() | (F.col("page") <= F.col("stop_page"))
     )
 
@@ -62,11 +66,11 @@ def poll_marks(
     maximum runs over polls, not over posts.
 
     ``polls`` (POLL_KEYS) names all polls made, also those that list nothing. ``started``
-    (POLL_KEYS, started_at, started_first) has the marks of polls whose first rows came in
-    an earlier run; their other rows are judged by the same marks.
+    (POLL_KEYS, started_at, started_first, started_new, started_stop) has the marks, flags and
+    last pages of polls whose first rows came in an earlier run; their other rows are judged by them.
     """
     listed = (
-        read_pages(listing, max_pages)
+        read_pages(listing, max_pages, None if started is None else started.select(*POLL_KEYS, "started_stop"))
         .groupBy(*POLL_KEYS)
         .agg(
             F.sum("page_rows").alias("poll_rows"),
@@ -91,7 +95,8 @@ def poll_marks(
             marked.join(started, POLL_KEYS, "left")
             .withColumn("mark_before", F.coalesce("started_at", "mark_before"))
             .withColumn("first_poll", F.coalesce("started_first", "first_poll"))
-            .drop("started_at", "started_first")
+            .withColumn("new_feed", F.coalesce("started_new", "new_feed"))
+            .drop("started_at", "started_first", "started_new", "started_stop")
         )
     marked = marked.withColumn("mark_after", F.greatest("last_post_time", "mark_before", "newest"))
     cut = (
@@ -165,6 +170,7 @@ def one_per_poll(new: DataFrame) -> DataFrame:
     return new.groupBy(*POLL_KEYS, "post_id").agg(
         F.min(_AT("page", "pos")).alias("at"),
         F.max_by("url", _AT("page", "pos")).alias("url"),
+        F.max(_AT("page", "pos")).alias("last_at"),
         F.max("published").alias("published"),
         F.max("poll_rows").alias("poll_rows"),
         F.bool_and(F.col("new_feed") & F.col("first_poll")).alias("first_of_new_feed"),
@@ -200,18 +206,25 @@ def missing_metadata(new: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
-def override_new_feeds(enriched: DataFrame, first: int = NEW_FEED_NOTIFICATIONS) -> DataFrame:
+def override_new_feeds(
+    enriched: DataFrame, first: int = NEW_FEED_NOTIFICATIONS, given: DataFrame | None = None
+) -> DataFrame:
     """``set_notify`` for a feed's first poll: true for its first posts, false for the rest.
 
     Only the first ``first`` places of each such poll are ranked (the limit is applied
-    before the shuffle); the last of them is then the cut for all rows.
+    before the shuffle); the last of them is then the cut for all rows. ``given`` (POLL_KEYS,
+    post_id, at) has the first places given to the same polls in earlier runs; they count.
     """
-    ranked = enriched.where("first_of_new_feed").select(*POLL_KEYS, "at")
+    ranked = enriched.where("first_of_new_feed").select(*POLL_KEYS, "post_id", "at")
     place = F.row_number().over(Window.partitionBy(*POLL_KEYS).orderBy("at"))
+    firsts = ranked.withColumn("_place", place).where(F.col("_place") <= first)
+    if given is not None:
+        polls = firsts.select(*POLL_KEYS).distinct()
+        both = firsts.drop("_place").unionByName(given.join(polls, POLL_KEYS, "left_semi"))
+        both = both.groupBy(*POLL_KEYS, "post_id").agg(F.min("at").alias("at"))
+        firsts = both.withColumn("_place", place).where(F.col("_place") <= first)
     cuts = (
-        ranked.withColumn("_place", place)
-        .where(F.col("_place") <= first)
-        .groupBy(*POLL_KEYS)
+        firsts.groupBy(*POLL_KEYS)
         .agg(F.max("at").alias("cut"))
     )
     with_cut = lookup_join(

@@ -6,7 +6,11 @@ and overwrites its own folders, so a replay after a lost executor or driver give
 same tables.
 
 The polls of a feed must land in order. A poll may lie in several files and micro-batches:
-the mark it started from is kept, and its later rows are judged by that mark.
+the mark it started from is kept, and its later rows are judged by that mark. So are whether
+it is the first poll of a new feed, its last page and the first places already given. The
+message files hold what each micro-batch sent; where a poll's files don't land in listing order,
+first places can be sent too often there. ``PostStore.messages`` takes each poll as a whole,
+so it is the same however files land and fall into micro-batches.
 """
 
 from __future__ import annotations
@@ -23,10 +27,17 @@ from ..sources import schemas as S
 from ..sources.tables import read_batches, write_batch
 
 STORED_POST = T.StructType([f for f in S.POST.fields if f.name != "notify"])
-MESSAGE_LOG = T.StructType(S.MESSAGE.fields + [T.StructField("url", T.StringType())])
+PLACE = T.StructType([f for f in S.LISTING.fields if f.name in ("page", "pos")])
+MESSAGE_LOG = T.StructType(
+    S.MESSAGE.fields
+    + [T.StructField("url", T.StringType())]
+    + [f for f in S.LISTING.fields if f.name in S.POLL_KEYS and f.name != "site"]
+    + [T.StructField("at", PLACE), T.StructField("last_at", PLACE), T.StructField("first_of_new_feed", T.BooleanType())]
+)
 STARTED = T.StructType(
     [f for f in S.LISTING.fields if f.name in S.POLL_KEYS]
     + [T.StructField("started_at", T.LongType()), T.StructField("started_first", T.BooleanType())]
+    + [T.StructField("started_new", T.BooleanType()), T.StructField("started_stop", T.IntegerType())]
 )
 WRITE_ORDER = ["poll_id", "feed_type", "query", "at"]
 
@@ -55,14 +66,30 @@ class PostStore:
     def posts(self, before: int | None = None) -> DataFrame:
         return read_batches(self.spark, self.posts_path, STORED_POST, before)
 
-    def started(self, before: int) -> DataFrame:
-        """The mark that each poll of earlier batches started from."""
+    def started(self, before: int | None = None) -> DataFrame:
+        """The mark that each poll of earlier batches started from, its flags and its last page if known."""
         polls = read_batches(self.spark, self.polls_path, STARTED, before)
-        firsts = (F.min("started_at").alias("started_at"), F.bool_or("started_first").alias("started_first"))
+        firsts = [F.min("started_at").alias("started_at"), F.min("started_stop").alias("started_stop")]
+        firsts += [F.bool_or(c).alias(c) for c in ("started_first", "started_new")]
         return polls.groupBy(*S.POLL_KEYS).agg(*firsts)
 
+    def given(self, before: int) -> DataFrame:
+        """The first places of new feeds' polls that earlier batches gave."""
+        log = read_batches(self.spark, self.messages_path, MESSAGE_LOG, before)
+        return log.where("first_of_new_feed AND set_notify").select(*S.POLL_KEYS, "post_id", "at")
+
     def messages(self) -> DataFrame:
-        return read_batches(self.spark, self.messages_path, MESSAGE_LOG)
+        """One message for each post of a poll, judged by the whole poll."""
+        log = read_batches(self.spark, self.messages_path, MESSAGE_LOG)
+        stops = self.started().where("started_stop IS NOT NULL").select(*S.POLL_KEYS, "started_stop")
+        read = log.join(stops, S.POLL_KEYS, "left").where("started_stop IS NULL OR at.page <= started_stop")
+        merged = read.groupBy(*S.POLL_KEYS, "post_id").agg(
+            F.min("at").alias("at"),
+            F.max_by("url", "last_at").alias("url"),
+            F.bool_and("skip_write").alias("skip_write"),
+            F.bool_and("first_of_new_feed").alias("first_of_new_feed"),
+        )
+        return I.override_new_feeds(merged).select(*S.MESSAGE.fieldNames(), "url")
 
 
 def ingest_batch(
@@ -83,17 +110,22 @@ def ingest_batch(
         marks = I.poll_marks(usable, feeds, max_pages, started=started).persist(StorageLevel.MEMORY_AND_DISK)
         new = I.new_posts(usable, marks, max_pages)
         # Read twice below, for messages and for posts.
-        known = I.override_new_feeds(I.known_posts(new, metadata)).persist(StorageLevel.MEMORY_AND_DISK)
-        messages = known.select(
-            "site", "post_id", "set_notify", F.lit(False).alias("skip_write"), "url"
-        )
+        known = I.override_new_feeds(I.known_posts(new, metadata), given=store.given(before=batch_id))
+        known = known.persist(StorageLevel.MEMORY_AND_DISK)
+        messages = known.withColumn("skip_write", F.lit(False)).select(*MESSAGE_LOG.fieldNames())
         first = I.insert_if_absent(known, store.posts(before=batch_id), WRITE_ORDER)
         inserted = I.attach_metadata(first, metadata).withColumn("published_time", F.col("published"))
         inserted = inserted.select(*STORED_POST.fieldNames())
         write_batch(inserted, store.posts_path, batch_id)
         write_batch(messages, store.messages_path, batch_id)
         write_batch(parsed.where(F.col("published").isNull()), store.quarantine_path, batch_id)
-        begun = marks.select(*S.POLL_KEYS, F.col("mark_before").alias("started_at"), F.col("first_poll").alias("started_first"))
+        begun = marks.select(
+            *S.POLL_KEYS,
+            F.col("mark_before").alias("started_at"),
+            F.col("first_poll").alias("started_first"),
+            F.col("new_feed").alias("started_new"),
+            F.col("stop_page").alias("started_stop"),
+        )
         write_batch(begun, store.polls_path, batch_id)
         write_batch(I.advance_feeds(feeds, marks, polled_at), store.feeds_path, batch_id)
     finally:

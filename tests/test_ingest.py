@@ -164,6 +164,36 @@ def test_a_poll_in_several_batches_is_judged_by_the_mark_it_started_from(spark,
     assert found[0][0] == ["a", "b", "d"]
 
 
+def test_messages_of_a_new_feed_do_not_depend_on_micro_batches(spark, tmp_path):
+    posts = [(str(i), str(300 - i)) for i in range(12)] + [("2", "280"), ("11", "279")]
+    meta = metadata(spark, [str(i) for i in range(12) if i != 1])
+    ways = {"whole": [range(7)], "in order": [[k] for k in range(7)], "backwards": [[k] for k in range(6, -1, -1)]}
+    found = {}
+    for name, batches in ways.items():
+        store = PostStore(spark, str(tmp_path / name))
+        store.create(feeds(spark, new=True))
+        for n, pages in enumerate(batches):
+            rows = listing(spark, {0: posts}).where(F.col("page").isin(*pages))
+            ingest_batch(store, rows, n, meta, F.timestamp_seconds(F.lit(5000)))
+        found[name] = sorted(((r["post_id"], r["set_notify"], r["url"]) for r in store.messages().collect()), key=str)
+        if name == "in order":
+            sent = spark.read.parquet(store.messages_path).where("set_notify")
+            assert ids(sent) == ["0", "2", "3", "4", "5"]
+    assert found["whole"] == found["in order"] == found["backwards"]
+    assert [p for p, flag, _ in found["whole"] if flag] == ["0", "2", "3", "4", "5"]
+    assert all(flag is not None for _, flag, _ in found["whole"]) and ("2", True, "u0-12") in found["whole"]
+
+
+def test_pages_after_a_poll_s_last_one_are_not_read_in_later_batches(spark, tmp_path):
+    store = PostStore(spark, str(tmp_path / "store"))
+    store.create(feeds(spark))
+    rows = listing(spark, {0: [("a", "110"), ("b", "109"), ("c", "120"), ("d", "119")]}).withColumn("has_more", F.lit(False))
+    for n in (0, 1):
+        ingest_batch(store, rows.where(F.col("page") == n), n, metadata(spark, list("abcd")), F.timestamp_seconds(F.lit(5000)))
+    assert ids(store.messages()) == ids(store.posts()) == ["a", "b"]
+    assert store.feeds(1).first()["last_post_time"] == 110
+
+
 def test_same_id_on_two_sites_is_two_posts(spark):
     rows = [(s, "7", f"{s}/7", 0, 0, 0, "110") for s in ("gallery", "microblog")]
     batch = spark.createDataFrame(rows, "site string, post_id string, url string, poll_id long, page int, pos int, t string")
