@@ -297,6 +297,16 @@ def test_pipeline_stages_do_what_they_say(spark, items):
             assert all(0 < r["taken"] <= 3 * r["size"] for r in after)
 
 
+def test_rows_without_a_word_are_copies_of_nothing(spark):
+    texts = [None, None, "", "", " \n", " \n", "two words", "two words"]
+    rows = [(i, t, None, s, None) for i in (None, 7) for s in ("a", "b") for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = [tuple(r) for r in corpus_pipeline.without_copies(spark, docs, SF).collect()]
+    wordless = [r for r in rows if r[1] != "two words"]
+    assert sorted((r for r in left if r[1] != "two words"), key=str) == sorted(wordless, key=str)
+    assert [r[:2] for r in left if r[1] == "two words"] == [(7, "two words")]
+
+
 def test_pipeline_handles_awkward_rows(spark):
     docs = brute.edge_docs(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
