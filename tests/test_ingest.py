@@ -62,10 +62,10 @@ def test_prefix_equals_filter_on_newest_first_input(spark):
 
 def test_page_cap_marks_poll_as_truncated(spark):
     polls = {0: [(str(i), str(200 - i)) for i in range(30)]}
-    new, marks = accept(spark, polls)
+    new, marks = accept(spark, polls, max_pages=I.MAX_PAGES)
     row = marks.first()
     assert len(ids(new)) == 20 and row["truncated"] and row["mark_after"] == 200
-    _, marks = accept(spark, {0: polls[0][:20]})
+    _, marks = accept(spark, {0: polls[0][:20]}, max_pages=I.MAX_PAGES)
     assert not marks.first()["truncated"]
 
 
@@ -101,11 +101,11 @@ def test_last_url_wins_and_post_counts_once_per_poll(spark):
 
 
 def test_insert_if_absent(spark):
-    batch = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z")], "post_id string, n int, v string")
-    stored = spark.createDataFrame([("b",)], "post_id string")
+    batch = spark.createDataFrame([("g", "a", 2, "x"), ("g", "a", 1, "y"), ("g", "b", 1, "z")], "site string, post_id string, n int, v string")
+    stored = spark.createDataFrame([("g", "b")], "site string, post_id string")
     got = I.insert_if_absent(batch, stored, ["n"])
-    assert [tuple(r) for r in got.collect()] == [("a", 1, "y")]
-    after = stored.unionByName(got.select("post_id"))
+    assert [tuple(r) for r in got.collect()] == [("g", "a", 1, "y")]
+    after = stored.unionByName(got.select("site", "post_id"))
     assert I.insert_if_absent(batch, after, ["n"]).count() == 0
 
 
