@@ -219,6 +219,15 @@ def test_base_spans_equal_the_patterns(texts):
         assert personal_data.base_spans(text) == brute.base_spans(text)
 
 
+def test_address_with_thousands_of_leading_zeros(spark):
+    text = "0" * 5000 + ".1.1.1 and " + "0" * 5000 + "256.1.1.1"
+    assert personal_data.base_spans(text) == [("ip", 0, 5006)]
+    field = personal_data.train(table(spark, SF, "documents"))
+    assert personal_data.find(text, field)[0] == [("ip", 0, 5006)]
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert personal_data.personal_data(rows, field).first()["redacted"] is not None
+
+
 def test_skip_edges_carry_a_label_to_where_no_pattern_matches(spark):
     field = personal_data.train(table(spark, SF, "documents"))
     text = "call +1 (988) 555-2485 today. Then again (988) 555-2485, not 12 or 2024."
