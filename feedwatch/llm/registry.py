@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, katz, merkle, mixing, personal_data, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
+from . import centroids, decontamination, jaccard_join, katz, merkle, mixing, personal_data, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
 
-_ALL = {**decontamination.QUERIES, **jaccard_join.QUERIES, **katz.QUERIES, **merkle.QUERIES, **mixing.QUERIES, **personal_data.QUERIES, **quality_rules.QUERIES, **quality_classifier.QUERIES, **sharding.QUERIES, **token_counts.QUERIES, **toxicity.QUERIES, **url_filter.QUERIES}
+_ALL = {**centroids.QUERIES, **decontamination.QUERIES, **jaccard_join.QUERIES, **katz.QUERIES, **merkle.QUERIES, **mixing.QUERIES, **personal_data.QUERIES, **quality_rules.QUERIES, **quality_classifier.QUERIES, **sharding.QUERIES, **token_counts.QUERIES, **toxicity.QUERIES, **url_filter.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
