@@ -316,7 +316,8 @@ def descend(levels: list[DataFrame], topped) -> DataFrame:
     paths = None
     for stage in reversed(levels):
         lone = stage.groupBy(*GROUP).agg(F.max("block").alias("__last")).where("__last = 0").select(*GROUP)
-        top = topped(stage.join(lone, GROUP, "left_semi"))
+        # at most one block for each source, so a source with many blocks doesn't meet in one task
+        top = topped(stage.where("block = 0").join(lone, GROUP, "left_semi"))
         if paths is not None:
             below = paths.select(*GROUP, F.col("position").alias("block"), "path", "subroot")
             top = top.unionByName(stage.join(below, [*GROUP, "block"]).select(*top.columns))
