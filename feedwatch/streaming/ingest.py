@@ -1,95 +1,38 @@
 """Streaming ingest: landed listing files to posts, messages and feed marks.
 
-State lives in batch tables, not in the streaming engine: a watermark is one mark per
-stream, but every feed has its own. Micro-batch *n* reads the feeds written by *n - 1*
+State lives in tables of the store, not in the streaming engine: a watermark is one mark per
+stream, but every feed has its own. Micro-batch *n* reads what *n - 1* left (feeds and open polls)
 and overwrites its own folders, so a replay after a lost executor or driver gives the
-same tables.
+same tables. What it reads doesn't grow with the number of batches before it.
 
-The polls of a feed must land in order. A poll may lie in several files and micro-batches:
-the mark it started from is kept, and its later rows are judged by that mark. So are whether
-it is the first poll of a new feed, its last page and the first places already given. The
+The polls of a feed must land in order. A poll may lie in several files and micro-batches: an open
+poll keeps the mark it started from, whether it is the first poll of a new feed, its last page
+and the first places already given, and its later rows are judged by these. The newest
+``OPEN_POLLS`` polls of a feed are open; rows of older ones are quarantined. The
 message files hold what each micro-batch sent; where a poll's files don't land in listing order,
 first places can be sent too often there. ``PostStore.messages`` takes each poll as a whole,
 so it is the same however files land and fall into micro-batches.
+
+Feedback and follow requests may come with the same stream (``service_stream``): a batch first stores posts,
+then applies its feedback, so a deleted post can be stored again by a later batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
+from ..functions.formats import parse_epoch
 from ..operators import ingest as I
-from ..operators.sites import unique_feeds
+from ..operators.sites import insert_feeds, unique_feeds
 from ..sources import schemas as S
-from ..sources.tables import read_batches, write_batch
-
-STORED_POST = T.StructType([f for f in S.POST.fields if f.name != "notify"])
-PLACE = T.StructType([f for f in S.LISTING.fields if f.name in ("page", "pos")])
-MESSAGE_LOG = T.StructType(
-    S.MESSAGE.fields
-    + [T.StructField("url", T.StringType())]
-    + [f for f in S.LISTING.fields if f.name in S.POLL_KEYS and f.name != "site"]
-    + [T.StructField("at", PLACE), T.StructField("last_at", PLACE), T.StructField("first_of_new_feed", T.BooleanType())]
-)
-STARTED = T.StructType(
-    [f for f in S.LISTING.fields if f.name in S.POLL_KEYS]
-    + [T.StructField("started_at", T.LongType()), T.StructField("started_first", T.BooleanType())]
-    + [T.StructField("started_new", T.BooleanType()), T.StructField("started_stop", T.IntegerType())]
-)
-WRITE_ORDER = ["poll_id", "feed_type", "query", "at"]
+from ..sources.tables import write_batch
+from .store import MESSAGE_LOG, STORED_POST, PostStore, closed_below, next_open_polls
 
-
-class PostStore:
-    """Folders of one engine instance: posts, feeds, messages and quarantined listing rows."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.posts_path = f"{self.path}/posts"
-        self.feeds_path = f"{self.path}/feeds"
-        self.messages_path = f"{self.path}/messages"
-        self.quarantine_path = f"{self.path}/quarantine"
-        self.polls_path = f"{self.path}/polls"
-
-    def create(self, feeds: DataFrame) -> None:
-        """Empty tables and the first feed snapshot, as batch -1."""
-        write_batch(self.spark.createDataFrame([], STORED_POST), self.posts_path, -1)
-        write_batch(self.spark.createDataFrame([], MESSAGE_LOG), self.messages_path, -1)
-        write_batch(unique_feeds(feeds), self.feeds_path, -1)
-        write_batch(self.spark.createDataFrame([], STARTED), self.polls_path, -1)
-
-    def feeds(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(S.FEED).parquet(f"{self.feeds_path}/batch={batch_id}")
-
-    def posts(self, before: int | None = None) -> DataFrame:
-        return read_batches(self.spark, self.posts_path, STORED_POST, before)
-
-    def started(self, before: int | None = None) -> DataFrame:
-        """The mark that each poll of earlier batches started from, its flags and its last page if known."""
-        polls = read_batches(self.spark, self.polls_path, STARTED, before)
-        firsts = [F.min("started_at").alias("started_at"), F.min("started_stop").alias("started_stop")]
-        firsts += [F.bool_or(c).alias(c) for c in ("started_first", "started_new")]
-        return polls.groupBy(*S.POLL_KEYS).agg(*firsts)
-
-    def given(self, before: int) -> DataFrame:
-        """The first places of new feeds' polls that earlier batches gave."""
-        log = read_batches(self.spark, self.messages_path, MESSAGE_LOG, before)
-        return log.where("first_of_new_feed AND set_notify").select(*S.POLL_KEYS, "post_id", "at")
-
-    def messages(self) -> DataFrame:
-        """One message for each post of a poll, judged by the whole poll."""
-        log = read_batches(self.spark, self.messages_path, MESSAGE_LOG)
-        stops = self.started().where("started_stop IS NOT NULL").select(*S.POLL_KEYS, "started_stop")
-        read = log.join(stops, S.POLL_KEYS, "left").where("started_stop IS NULL OR at.page <= started_stop")
-        merged = read.groupBy(*S.POLL_KEYS, "post_id").agg(
-            F.min("at").alias("at"),
-            F.max_by("url", "last_at").alias("url"),
-            F.bool_and("skip_write").alias("skip_write"),
-            F.bool_and("first_of_new_feed").alias("first_of_new_feed"),
-        )
-        return I.override_new_feeds(merged).select(*S.MESSAGE.fieldNames(), "url")
+WRITE_ORDER = ["poll_id", "feed_type", "query", "at"]
 
 
 def ingest_batch(
@@ -99,41 +42,65 @@ def ingest_batch(
     metadata: DataFrame,
     polled_at: Column,
     max_pages: int | None = None,
+    feedback: DataFrame | None = None,
+    follows: DataFrame | None = None,
+    prefix: bool = False,
 ) -> None:
-    """One round of polls: everything the push path does up to the notifier."""
+    """One round of polls: everything the push path does up to the notifier.
+
+    ``feedback`` (seq, op, POST_KEYS) is applied after the batch's posts are stored, ``follows`` (feeds) are
+    followed from this batch on. ``prefix``: a poll stops at its first old post; its files must then land in listing order.
+    """
+    spark = store.spark
+    store.tidy(batch_id)
     parsed = I.parse_listing(listing).persist(StorageLevel.MEMORY_AND_DISK)
-    marks = known = None
+    marks = None
     try:
         usable = parsed.where(F.col("published").isNotNull())
         feeds = store.feeds(batch_id - 1)
-        started = store.started(before=batch_id)
-        marks = I.poll_marks(usable, feeds, max_pages, started=started).persist(StorageLevel.MEMORY_AND_DISK)
-        new = I.new_posts(usable, marks, max_pages)
-        # Read twice below, for messages and for posts.
-        known = I.override_new_feeds(I.known_posts(new, metadata), given=store.given(before=batch_id))
-        known = known.persist(StorageLevel.MEMORY_AND_DISK)
-        messages = known.withColumn("skip_write", F.lit(False)).select(*MESSAGE_LOG.fieldNames())
-        first = I.insert_if_absent(known, store.posts(before=batch_id), WRITE_ORDER)
+        if follows is not None:
+            feeds = insert_feeds(feeds, unique_feeds(follows.select(*S.FEED.fieldNames())))
+        opened = store.open_polls.read(batch_id - 1)
+        closed = closed_below(opened)
+        marks = I.poll_marks(usable, feeds, max_pages, started=opened.drop("given"), closed=closed, prefix=prefix)
+        marks = marks.persist(StorageLevel.MEMORY_AND_DISK)
+        new = I.new_posts(usable, marks, max_pages, prefix=prefix)
+        # Read several times below: written once as thin rows, which also keeps the plans of what follows short.
+        known = _written(I.known_posts(new, metadata), f"{store.work_path}/known")
+        given = opened.where("size(given) > 0").select(*S.POLL_KEYS, F.explode("given").alias("g")).select(*S.POLL_KEYS, "g.post_id", "g.at")
+        messages = I.override_new_feeds(known, given=given, rows_col="poll_rows").withColumn("skip_write", F.lit(False))
+        write_batch(messages.select(*MESSAGE_LOG.fieldNames()), store.messages_path, batch_id)
+        sent = spark.read.schema(MESSAGE_LOG).parquet(f"{store.messages_path}/batch={batch_id}")
+        first = _written(store.absent(I.first_writes(known, WRITE_ORDER), batch_id), f"{store.work_path}/first")
         inserted = I.attach_metadata(first, metadata).withColumn("published_time", F.col("published"))
-        inserted = inserted.select(*STORED_POST.fieldNames())
-        write_batch(inserted, store.posts_path, batch_id)
-        write_batch(messages, store.messages_path, batch_id)
-        write_batch(parsed.where(F.col("published").isNull()), store.quarantine_path, batch_id)
+        store.stored.write(inserted.select(*STORED_POST.fieldNames()), batch_id)
+        store.write_states(first, feedback, batch_id)
+        late = parsed.join(closed, S.FEED_KEYS).where("poll_id < floor").select(*parsed.columns)
+        late = late.where(F.col("published").isNotNull())
+        write_batch(parsed.where(F.col("published").isNull()).unionByName(late), store.quarantine_path, batch_id)
         begun = marks.select(
             *S.POLL_KEYS,
             F.col("mark_before").alias("started_at"),
             F.col("first_poll").alias("started_first"),
             F.col("new_feed").alias("started_new"),
             F.col("stop_page").alias("started_stop"),
+            "ended",
         )
-        write_batch(begun, store.polls_path, batch_id)
-        write_batch(I.advance_feeds(feeds, marks, polled_at), store.feeds_path, batch_id)
+        write_batch(begun.drop("ended"), store.polls_path, batch_id)
+        firsts = sent.where("first_of_new_feed AND set_notify")
+        store.open_polls.write(next_open_polls(opened, begun, firsts), batch_id)
+        store.feed_table.write(I.advance_feeds(feeds, marks, polled_at), batch_id)
     finally:
-        for cached in (parsed, marks, known):
+        for cached in (parsed, marks):
             if cached is not None:
                 cached.unpersist()
 
 
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def start_ingest(
     store: PostStore,
     listing_stream: DataFrame,
@@ -141,11 +108,18 @@ def start_ingest(
     polled_at: Callable[[], Column] = F.current_timestamp,
     max_pages: int | None = None,
     trigger: dict | None = None,
+    prefix: bool = False,
 ) -> StreamingQuery:
-    """Run the ingest on a listing stream; by default once over everything that has landed."""
+    """Run the ingest on a listing stream, or a ``service_stream``; by default once over everything that has landed."""
+    service = "kind" in listing_stream.columns
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(store, batch, batch_id, metadata, polled_at(), max_pages)
+        feedback = follows = None
+        if service:
+            feedback = batch.where("kind = 'feedback'").select(*S.FEEDBACK.fieldNames())
+            follows = batch.where("kind = 'follow'").select(*S.FEED.fieldNames())
+            batch = batch.where("kind = 'listing'").select(*S.LISTING.fieldNames())
+        ingest_batch(store, batch, batch_id, metadata, polled_at(), max_pages, feedback, follows, prefix)
 
     return (
         listing_stream.writeStream.foreachBatch(step)
@@ -155,6 +129,34 @@ def start_ingest(
     )
 
 
+def service_stream(listing: DataFrame, feedback: DataFrame | None = None, follows: DataFrame | None = None) -> DataFrame:
+    """One stream of listed posts, callbacks and feeds to follow, told apart by ``kind``."""
+    schemas = {"listing": (listing, S.LISTING), "feedback": (feedback, S.FEEDBACK), "follow": (follows, S.FEED)}
+    names = {f.name: f.dataType for _, schema in schemas.values() for f in schema.fields}
+    union = None
+    for kind, (rows, schema) in schemas.items():
+        if rows is not None:
+            held = set(schema.fieldNames())
+            columns = [F.col(c) if c in held else F.lit(None).cast(t).alias(c) for c, t in names.items()]
+            part = rows.select(F.lit(kind).alias("kind"), *columns)
+            union = part if union is None else union.unionByName(part)
+    return union
+
+
+def first_listed(listing_stream: DataFrame, horizon: str = "30 days") -> DataFrame:
+    """Each post of a listing stream once, however many polls list it: the first row that arrives.
+
+    The state holds the posts of the last ``horizon`` only. It is exact for posts that
+    aren't listed again after more than that, by publishing time; later ones pass once more.
+    """
+    stamped = listing_stream.withColumn("listed_at", F.timestamp_seconds(parse_epoch(F.col("published_time"))))
+    stamped = stamped.where(F.col("listed_at").isNotNull()).withWatermark("listed_at", horizon)
+    return stamped.dropDuplicatesWithinWatermark(S.POST_KEYS)
+
+
 def polling_trigger(minutes: int = I.POLL_INTERVAL_MINUTES) -> dict:
     """Trigger of the continuous service: one micro-batch per polling interval."""
     return {"processingTime": f"{minutes} minutes"}
+
+
+__all__ = ["PostStore", "first_listed", "ingest_batch", "polling_trigger", "service_stream", "start_ingest"]
