@@ -55,6 +55,7 @@ LISTING = _listing(
     "listing", "(published - 1704067200) // 86400 // 10", "published DESC, event_id DESC"
 )
 UNORDERED_LISTING = _listing("unordered", "0", "md5(event_id::VARCHAR)")
+SCATTERED_LISTING = _listing("scattered", "event_id % 3", "md5(event_id::VARCHAR)")
 
 # Polls with the mark each starts from; then the rows it accepts.
 ACCEPTED_CAPPED = """
@@ -89,6 +90,26 @@ overridden AS (
          row_number() OVER (PARTITION BY feed_type, query, poll_id ORDER BY place) <= 5 END AS set_notify
   FROM enriched)"""
 
+
+
+def _take_while(poll: int) -> str:
+    """One poll of the scattered listing read from the marks that the polls before it left."""
+    return f"""
+read_{poll} AS (
+  SELECT l.*, m.mark AS mark_before, min(CASE WHEN l.published <= m.mark THEN page * 1000000 + pos END)
+           OVER (PARTITION BY feed_type, query) AS stop
+  FROM scattered l JOIN marks_{poll} m USING (feed_type, query) WHERE l.poll_id = {poll}),
+marks_{poll + 1} AS (
+  SELECT m.feed_type, m.query, greatest(m.mark, coalesce(max(r.published) FILTER (
+           r.stop IS NULL OR r.page * 1000000 + r.pos < r.stop), m.mark)) AS mark
+  FROM marks_{poll} m LEFT JOIN read_{poll} r USING (feed_type, query) GROUP BY m.feed_type, m.query, m.mark)"""
+
+
+#: Polls 0 to 2 one after another: read_n has poll n's rows, its mark and the place of its first old row.
+TAKE_WHILE_ROUNDS = "marks_0 AS (SELECT feed_type, query, last_post_time AS mark FROM feeds)," + ",".join(
+    _take_while(poll) for poll in range(3)
+)
+
 FEEDBACK = """
 feedback AS (
   SELECT event_id AS seq, user_id::VARCHAR AS post_id, 'gallery' AS site,
@@ -98,6 +119,39 @@ feedback AS (
   FROM events)"""
 
 
+
+
+def _served(poll: int) -> str:
+    """The live posts after one round: its new posts stored where they don't live yet, then its callbacks."""
+    return f"""
+round_{poll} AS (
+  SELECT post_id, url, title, published AS published_time FROM by_round
+  WHERE nth = 1 AND poll_id = {poll} AND post_id NOT IN (SELECT post_id FROM live_{poll})
+  UNION ALL SELECT post_id, url, title, published_time FROM live_{poll}),
+pressed_{poll} AS (
+  SELECT post_id, bool_or(op = 'cb_delete') AS gone,
+         arg_max(op = 'cb_true', seq) FILTER (op IN ('cb_true', 'cb_false')) AS label
+  FROM parted WHERE part = {poll} GROUP BY post_id),
+live_{poll + 1} AS (
+  SELECT r.*, coalesce(p.label, l.notify) AS notify
+  FROM round_{poll} r LEFT JOIN pressed_{poll} p USING (post_id) LEFT JOIN live_{poll} l USING (post_id)
+  WHERE NOT coalesce(p.gone, false))"""
+
+
+#: live_3: the posts after three rounds of polls, each followed by a third of the callbacks.
+SERVED = """
+by_round AS (
+  SELECT e.*, a.published, row_number() OVER (PARTITION BY e.post_id, e.poll_id
+           ORDER BY e.feed_type, e.query, e.place) AS nth
+  FROM enriched e JOIN (SELECT feed_type, query, poll_id, post_id, max(published) AS published
+                        FROM accepted GROUP BY ALL) a USING (feed_type, query, poll_id, post_id)),
+live_0 AS (
+  SELECT ''::VARCHAR AS post_id, ''::VARCHAR AS url, ''::VARCHAR AS title, 0::BIGINT AS published_time,
+         NULL::BOOLEAN AS notify WHERE false),""" + ",".join(_served(poll) for poll in range(3))
+THIRDS = """
+parted AS (SELECT *, seq * 3 // (SELECT max(event_id) + 1 FROM events) AS part FROM feedback)"""
+
+
 def rank_sql(expr: str, salt: str) -> str:
     return f"('0x' || substr(md5({expr}::VARCHAR || ':{salt}'), 1, 12))::BIGINT"
 

@@ -9,8 +9,8 @@ from ..functions import formats
 from ..operators import ingest as I
 from ..operators import sites as SITE
 from ..sources import derived, tables
-from ..sources.schemas import LISTING, POLL_KEYS
-from ..streaming.ingest import PostStore, start_ingest
+from ..sources.schemas import FEEDBACK, LISTING, POLL_KEYS, POST_KEYS
+from ..streaming.ingest import PostStore, first_listed, service_stream, start_ingest
 from . import base_sql as B
 
 _PLACE = ["feed_type", "query", "poll_id", "page", "pos", "post_id"]
@@ -60,6 +60,22 @@ def poll_take_while_marks(spark, sf_dir) -> DataFrame:
     return after.select("feed_type", "query", "poll_id", "mark_before", "mark_after")
 
 
+def _take_while_rounds(spark, sf_dir):
+    listing, _ = I.split_listing(derived.scattered_listing(spark, sf_dir))
+    return listing, tables.written(I.poll_marks(listing, derived.feeds(spark, sf_dir), prefix=True), "marks")
+
+
+def take_while_rounds(spark, sf_dir) -> DataFrame:
+    """New posts of three unordered polls per feed, each read up to its first post not above the mark the one before left."""
+    listing, marks = _take_while_rounds(spark, sf_dir)
+    return I.new_posts(listing, marks, prefix=True).select(*_PLACE, "published")
+
+
+def take_while_round_marks(spark, sf_dir) -> DataFrame:
+    _, marks = _take_while_rounds(spark, sf_dir)
+    return marks.select("feed_type", "query", "poll_id", "mark_before", "mark_after")
+
+
 def poll_empty(spark, sf_dir) -> DataFrame:
     """The feed table after every feed was polled in every round, also where a poll lists nothing."""
     listing, _ = I.split_listing(derived.listing(spark, sf_dir))
@@ -122,8 +138,8 @@ def missing_metadata(spark, sf_dir) -> DataFrame:
 
 
 def new_feed_override(spark, sf_dir) -> DataFrame:
-    known = I.known_posts(_accepted(spark, sf_dir), derived.posts(spark, sf_dir))
-    overridden = I.override_new_feeds(known)
+    known = tables.written(I.known_posts(_accepted(spark, sf_dir), derived.posts(spark, sf_dir)), "known")
+    overridden = I.override_new_feeds(known, rows_col="poll_rows")
     return overridden.select("feed_type", "query", "poll_id", "post_id", "set_notify")
 
 
@@ -131,7 +147,7 @@ def insert_if_absent(spark, sf_dir) -> DataFrame:
     """New posts of all polls against a store that already holds the labelled posts."""
     posts = derived.posts(spark, sf_dir)
     stored = posts.where(F.col("notify").isNotNull())
-    known = I.known_posts(_accepted(spark, sf_dir), posts)
+    known = tables.written(I.known_posts(_accepted(spark, sf_dir), posts), "known")
     first = I.insert_if_absent(known, stored, ["poll_id", "feed_type", "query", "at"])
     inserted = I.attach_metadata(first, posts)
     return inserted.select("post_id", "url", "title", "published")
@@ -306,8 +322,7 @@ def stream_ingest(spark, sf_dir) -> DataFrame:
 
 def stream_feeds(spark, sf_dir) -> DataFrame:
     store = _streamed(spark, sf_dir)
-    last = spark.read.parquet(store.feeds_path).agg(F.max("batch")).first()[0]
-    return _feed_rows(store.feeds(last))
+    return _feed_rows(store.feeds())
 
 
 def stream_messages(spark, sf_dir) -> DataFrame:
@@ -315,6 +330,48 @@ def stream_messages(spark, sf_dir) -> DataFrame:
     return messages.select("post_id", "set_notify", "skip_write", "url")
 
 
+_SERVED: dict[tuple[str, str], PostStore] = {}
+
+
+def _served(spark, sf_dir) -> PostStore:
+    """Rounds of polls and thirds of the callbacks landed in turn, and run as one stream."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _SERVED:
+        return _SERVED[key]
+    base = shared_dir(spark, "service")
+    store = PostStore(spark, f"{base}/store")
+    store.create(derived.feeds(spark, sf_dir))
+    metadata = derived.posts(spark, sf_dir)
+    listing = tables.written(derived.listing(spark, sf_dir), "listing")
+    feedback = derived.feedback(spark, sf_dir)
+    n_events = derived.table(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0]
+    feedback = feedback.withColumn("part", F.expr(f"seq * {derived.ROUNDS} div {n_events}"))
+    schemas = {"listing": LISTING, "feedback": FEEDBACK}
+    for n in range(derived.ROUNDS):
+        listing.where(F.col("poll_id") == n).write.mode("append").parquet(f"{base}/listing")
+        feedback.where(F.col("part") == n).drop("part").write.mode("append").parquet(f"{base}/feedback")
+        streams = [spark.readStream.schema(schema).parquet(f"{base}/{name}") for name, schema in schemas.items()]
+        start_ingest(store, service_stream(*streams), metadata, polled_at=_clock).awaitTermination()
+    _SERVED[key] = store
+    return store
+
+
+def stream_labels(spark, sf_dir) -> DataFrame:
+    """The posts that live after polls and callbacks of three rounds, with their labels."""
+    return _served(spark, sf_dir).posts().select("post_id", "url", "title", "published_time", "notify")
+
+
+def stream_first_listed(spark, sf_dir) -> DataFrame:
+    """The posts of a listing stream, each once, with state for posts of 60 days only."""
+    base = shared_dir(spark, "listed")
+    derived.listing(spark, sf_dir).write.parquet(f"{base}/landing")
+    stream = tables.stream_listing(spark, f"{base}/landing", files_per_trigger=1_000_000)
+    query = first_listed(stream, "60 days").select(*POST_KEYS).writeStream.format("parquet")
+    query = query.option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("site string, post_id string").parquet(f"{base}/out")
+
+
 _POLL = (B.FEEDS, B.LISTING, B.ACCEPTED)
 _CAPPED = (B.FEEDS, B.LISTING, B.ACCEPTED_CAPPED)
 _MARKS = """
@@ -375,6 +432,46 @@ QUERIES = {
             B.UNORDERED_LISTING,
         ),
     ),
+    "take_while_rounds": (
+        take_while_rounds,
+        B.with_tables(
+            " UNION ALL ".join(
+                f"SELECT {_PLACE_SQL}, published FROM read_{k} WHERE stop IS NULL OR page * 1000000 + pos < stop" for k in range(3)
+            ),
+            B.FEEDS,
+            B.SCATTERED_LISTING,
+            B.TAKE_WHILE_ROUNDS,
+        ),
+    ),
+    "take_while_round_marks": (
+        take_while_round_marks,
+        B.with_tables(
+            " UNION ALL ".join(
+                f"""SELECT DISTINCT feed_type, query, {k}::BIGINT AS poll_id, r.mark_before, m.mark AS mark_after
+                FROM read_{k} r JOIN marks_{k + 1} m USING (feed_type, query)"""
+                for k in range(3)
+            ),
+            B.FEEDS,
+            B.SCATTERED_LISTING,
+            B.TAKE_WHILE_ROUNDS,
+        ),
+    ),
+    "stream_labels": (
+        stream_labels,
+        B.with_tables(
+            "SELECT post_id, url, title, published_time, notify FROM live_3",
+            *_POLL,
+            B.POSTS,
+            B.ENRICHED,
+            B.FEEDBACK,
+            B.THIRDS,
+            B.SERVED,
+        ),
+    ),
+    "stream_first_listed": (
+        stream_first_listed,
+        B.with_tables("SELECT DISTINCT site, post_id FROM listing", B.LISTING),
+    ),
     "poll_empty": (
         poll_empty,
         B.with_tables(

@@ -156,6 +156,17 @@ def unordered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paged(numbered)
 
 
+def scattered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three polls per feed over the same days, each in md5 order."""
+    rows = _listed_events(spark, sf_dir, F.pmod("event_id", F.lit(ROUNDS))).withColumn(
+        "_digest", F.md5(F.col("event_id").cast("string"))
+    )
+    numbered = ordered_position(
+        rows, S.POLL_KEYS, bucket=F.substring("_digest", 1, 4), order=[F.col("_digest")]
+    )
+    return _paged(numbered)
+
+
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as button presses and inserts."""
     kinds = {

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..conf import shared_dir
 from . import schemas as S
 
 
@@ -81,6 +82,13 @@ def decode_classification(replies: DataFrame, body: str = "body") -> DataFrame:
     return replies.withColumn("_r", F.from_json(body, S.CLASSIFICATION)).select(*kept, "_r.*")
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read again: for thin rows that several parts of a plan read."""
+    path = shared_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 

@@ -10,6 +10,7 @@ SQL = registry.oracle_sql()
 SKEWED = [
     "poll_new_posts",
     "poll_take_while",
+    "take_while_rounds",
     "new_feed_override",
     "feedback_state",
     "classify_requests",
