@@ -36,6 +36,8 @@ class SiteModel(Protocol):
 
     def select_to_label(self, posts: DataFrame, count: int) -> DataFrame: ...
 
+    def retrain(self, posts: DataFrame) -> SiteModel: ...
+
 
 def normalise_query(query: Column) -> Column:
     """The lower-cased query when it is exactly one white-space field, else NULL."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..conf import shared_dir
 from ..functions import formats
-from ..operators import commands, feedback, labelling, model, routing
+from ..operators import commands, feedback, labelling, linear, model, routing
 from ..operators.ingest import download_posts
 from ..sources import derived
 from ..sources import schemas as S
@@ -253,8 +253,45 @@ def rescored_text(spark, sf_dir) -> DataFrame:
     return routing.printed_posts(trained_model(spark, sf_dir).score(posts))
 
 
-_SELECTED = f"""
-unlabelled AS (SELECT *, abs(score - 0.5::DOUBLE) AS distance FROM scored WHERE notify IS NULL),
+_TABLES: dict[tuple[str, str], linear.TableModel] = {}
+
+
+def table_model(spark, sf_dir) -> linear.TableModel:
+    """The counted model of this session and data, kept by version on disk."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        path = shared_dir(spark, "counted")
+        linear.log_ratio_model(derived.posts(spark, sf_dir)).save(path, 1)
+        _TABLES[key] = linear.TableModel.load(spark, path, 1)
+    return _TABLES[key]
+
+
+def table_scores(spark, sf_dir) -> DataFrame:
+    """Every post scored by joining its terms with a model table."""
+    scored = table_model(spark, sf_dir).score(derived.posts(spark, sf_dir))
+    return scored.select("post_id", "notify", F.round("score", 6).alias("score"), "would_notify")
+
+
+def table_terms(spark, sf_dir) -> DataFrame:
+    terms = table_model(spark, sf_dir).terms
+    return terms.select("block", "term", "df", F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight"))
+
+
+def label_from_table(spark, sf_dir) -> DataFrame:
+    return table_model(spark, sf_dir).select_to_label(derived.posts(spark, sf_dir), LABEL_COUNT).drop("site")
+
+
+def rescored_table_text(spark, sf_dir) -> DataFrame:
+    """Full text and score from the model table of every post the feedback log asks to print."""
+    log = derived.feedback(spark, sf_dir).where(F.col("op") == "cb_print")
+    posts = derived.posts(spark, sf_dir).join(log.select("site", "post_id").distinct(), ["site", "post_id"], "left_semi")
+    printed = routing.printed_posts(table_model(spark, sf_dir).score(posts))
+    return printed.select("post_id", F.round("score", 6).alias("score"), "text")
+
+
+def _selected_sql(scored: str) -> str:
+    return f"""
+unlabelled AS (SELECT *, abs(score - 0.5::DOUBLE) AS distance FROM {scored} WHERE notify IS NULL),
 picked AS (
   SELECT *, row_number() OVER (ORDER BY distance, {B.rank_sql('post_id', '42:shuffle')}, post_id) AS slot
   FROM unlabelled QUALIFY slot <= {LABEL_COUNT}),
@@ -264,6 +301,27 @@ drawn AS (
 selected AS (
   SELECT slot, CASE WHEN coin THEN random_id ELSE post_id END AS post_id, coin AS randomised
   FROM (SELECT *, {B.rank_sql('slot', '42:slot')} % 1000 < 200 AS coin FROM picked JOIN drawn USING (slot)))"""
+
+
+_SELECTED = _selected_sql("scored")
+_COUNTED = f"""
+{B.post_tokens_ctes().strip()},
+{B.grams_ctes().strip()},
+label_counts AS (
+  SELECT count(*) FILTER (notify) AS np, count(*) FILTER (NOT notify) AS nn FROM posts),
+counted AS (
+  SELECT block, term, count(*) AS df, count(*) FILTER (p.notify) AS pos
+  FROM counts JOIN posts p USING (post_id) WHERE p.notify IS NOT NULL GROUP BY block, term),
+model AS (
+  SELECT block, term, df, ln((1.0::DOUBLE + np + nn) / (1.0::DOUBLE + df)) + 1 AS idf,
+         ln((pos + 1.0::DOUBLE) / (np + 2.0::DOUBLE)) - ln((df - pos + 1.0::DOUBLE) / (nn + 2.0::DOUBLE)) AS weight
+  FROM counted, label_counts WHERE block = 'tags' OR (df >= 2 AND df <= 0.8::DOUBLE * (np + nn))),
+block_sums AS (
+  SELECT post_id, block, sum(tf * idf * weight) AS dot, sum(tf * idf * tf * idf) AS square
+  FROM counts JOIN model USING (block, term) GROUP BY post_id, block),
+table_scored AS (
+  SELECT p.*, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-coalesce(m.margin, 0))), 9) AS score
+  FROM posts p LEFT JOIN (SELECT post_id, sum(dot / sqrt(square)) AS margin FROM block_sums GROUP BY post_id) m USING (post_id))"""
 _DOWNLOADS = """
 downloads AS (
   SELECT r.post_id, p.url, p.title, CASE WHEN p.post_id IS NULL THEN 'post not found' END AS error
@@ -372,6 +430,14 @@ SELECT event_id, command, array_to_string(a, '|') AS args, arity_ok,
             WHEN a[1] IN ('microblog', 'Microblog') THEN 'microblog' END END AS site
 FROM o"""
 
+_DISPLAYED = B.strip_html_sql("description", "chr(10)")
+_PRINTED_SQL = f"""
+SELECT post_id, round(score, 6) AS score,
+       'Score: ' || printf('%.2f', score) || chr(10) || title || chr(10) || repeat('-', 86) || chr(10)
+       || regexp_replace(regexp_replace({B.decode_entities_sql(_DISPLAYED, 'keep')},
+            '[ \\t\\r\\f]*\\n[ \\t\\r\\f\\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS text
+FROM table_scored WHERE post_id IN (SELECT post_id FROM feedback WHERE op = 'cb_print')"""
+
 QUERIES = {
     "download_requests": (
         download_requests,
@@ -433,6 +499,24 @@ QUERIES = {
             "SELECT post_id, round(distance, 6) AS distance FROM picked", B.POSTS, B.SCORED, _SELECTED
         ),
     ),
+    "table_terms": (
+        table_terms,
+        B.with_tables("SELECT block, term, df, round(idf, 6) AS idf, round(weight, 6) AS weight FROM model", B.POSTS, _COUNTED),
+    ),
+    "table_scores": (
+        table_scores,
+        B.with_tables(
+            "SELECT post_id, notify, round(score, 6) AS score, score >= 0.5 AS would_notify FROM table_scored", B.POSTS, _COUNTED
+        ),
+    ),
+    "label_from_table": (
+        label_from_table,
+        B.with_tables("SELECT slot, post_id, randomised FROM selected", B.POSTS, _COUNTED, _selected_sql("table_scored")),
+    ),
+    "rescored_table_text": (
+        rescored_table_text,
+        B.with_tables(_PRINTED_SQL, B.POSTS, B.FEEDBACK, _COUNTED),
+    ),
     "label_with_random": (
         label_with_random,
         B.with_tables("SELECT slot, post_id, randomised FROM selected", B.POSTS, B.SCORED, _SELECTED),
