@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..conf import shared_dir
 from ..functions import formats
 from ..operators import ingest as I
 from ..operators import sites as SITE
 from ..sources import derived, tables
-from ..sources.schemas import FEEDBACK, LISTING, POLL_KEYS, POST_KEYS
+from ..sources.schemas import FEED, FEEDBACK, LISTING, LISTING_REPLY, POLL_KEYS, POST_KEYS
 from ..streaming.ingest import PostStore, first_listed, service_stream, start_ingest
+from ..streaming.tick import TICK, Polling, polling_stream, start_polling
 from . import base_sql as B
 
 _PLACE = ["feed_type", "query", "poll_id", "page", "pos", "post_id"]
@@ -285,6 +287,60 @@ def decode_replies(spark, sf_dir) -> DataFrame:
     return decoded.select(*_PLACE, "url", "published_time", "has_more", "next_offset")
 
 
+def reply_quarantine(spark, sf_dir) -> DataFrame:
+    """Reply bodies that can't be used: of every five pages one is whole, the others are cut, empty, partial or missing."""
+    listing = derived.listing(spark, sf_dir)
+    post = F.struct("published_time", F.col("post_id").alias("deviationid"), "url")
+    pages = listing.groupBy(*POLL_KEYS, "page").agg(F.collect_list(post).alias("results"), F.bool_and("has_more").alias("has_more"))
+    body = F.to_json(F.struct("results", "has_more"))
+    kind = F.col("page") % 5
+    body = F.when(kind == 0, body).when(kind == 1, F.expr("substr(to_json(struct(results, has_more)), 1, 25)")).when(kind == 2, " ").when(kind == 3, '{"has_more":true}')
+    replies = pages.select(*POLL_KEYS, "page", body.alias("body"))
+    return tables.broken_replies(replies, LISTING_REPLY, "results").select("feed_type", "query", "poll_id", "page", "reason")
+
+
+def stream_poll_requests(spark, sf_dir) -> DataFrame:
+    """What a clock of four ticks asks for, with follow requests that come between the first two."""
+    base = shared_dir(spark, "polling")
+    store = PostStore(spark, f"{base}/store")
+    store.create(derived.feeds(spark, sf_dir))
+    polling = Polling(store)
+    for seconds in _TICKS:
+        at = F.timestamp_seconds(F.lit(derived.CLOCK + seconds)).alias("tick")
+        if seconds == _FOLLOWED_AT:
+            SITE.new_feeds(_followed(spark, sf_dir)).select(at, *FEED.fieldNames()).write.mode("append").parquet(f"{base}/follows")
+        else:
+            spark.range(1).select(at).write.mode("append").parquet(f"{base}/ticks")
+            spark.createDataFrame([], FEED).select(at, *FEED.fieldNames()).write.mode("append").parquet(f"{base}/follows")
+        follows = spark.readStream.schema(StructType([*TICK.fields, *FEED.fields])).parquet(f"{base}/follows")
+        stream = polling_stream(spark.readStream.schema(TICK).parquet(f"{base}/ticks"), follows)
+        start_polling(polling, stream).awaitTermination()
+    asked = polling.requests()
+    return asked.select("site", "feed_type", "query", F.unix_timestamp("asked_at").alias("asked_at"), "woken")
+
+
+_TICKS = (0, 60, 240, 360, 600)
+_FOLLOWED_AT = 60
+
+
+def _ticks_sql() -> str:
+    """Feeds with the time they were last asked for, before and after each tick."""
+    parts = ["asked_0 AS (SELECT site, feed_type, query, last_query_time AS last FROM feeds)"]
+    for k, seconds in enumerate(_TICKS):
+        now = B.CLOCK + seconds
+        if seconds == _FOLLOWED_AT:
+            parts.append(f"""made_{k} AS (
+              SELECT DISTINCT site, feed_type, query, {now} AS asked_at, true AS woken FROM checked
+              WHERE error IS NULL AND (site, feed_type, query) NOT IN (SELECT (site, feed_type, query) FROM asked_{k}))""")
+        else:
+            parts.append(f"""made_{k} AS (
+              SELECT site, feed_type, query, {now} AS asked_at, false AS woken FROM asked_{k} WHERE last IS NULL OR {now} - last >= 300)""")
+        parts.append(f"""asked_{k + 1} AS (
+          SELECT site, feed_type, query, coalesce(m.asked_at, a.last) AS last
+          FROM asked_{k} a FULL JOIN made_{k} m USING (site, feed_type, query))""")
+    return ",".join(parts)
+
+
 _STREAMS: dict[tuple[str, str], PostStore] = {}
 
 
@@ -472,6 +528,21 @@ QUERIES = {
         stream_first_listed,
         B.with_tables("SELECT DISTINCT site, post_id FROM listing", B.LISTING),
     ),
+    "reply_quarantine": (
+        reply_quarantine,
+        B.with_tables(
+            """SELECT DISTINCT feed_type, query, poll_id, page,
+                 CASE page % 5 WHEN 1 THEN 'not parsed' WHEN 3 THEN 'no results' ELSE 'empty' END AS reason
+            FROM listing WHERE page % 5 <> 0""",
+            B.LISTING,
+        ),
+    ),
+    "stream_poll_requests": (
+        stream_poll_requests,
+        B.with_tables(
+            " UNION ALL ".join(f"SELECT * FROM made_{k}" for k in range(len(_TICKS))), B.FEEDS, _REQUESTS, _FOLLOW, _ticks_sql()
+        ),
+    ),
     "poll_empty": (
         poll_empty,
         B.with_tables(

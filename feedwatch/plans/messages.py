@@ -10,25 +10,28 @@ from ..operators import commands, feedback, labelling, linear, model, routing
 from ..operators.ingest import download_posts
 from ..sources import derived
 from ..sources import schemas as S
+from ..sources.tables import decode_classification
 from ..streaming.feedback import current_labels, start_feedback
-from ..streaming.route import start_router, stream_messages
+from ..streaming.route import merged_stream, start_notifier, start_router, stream_messages
 from . import base_sql as B
 
 LABEL_COUNT = 50
 
 
-def _all_messages(spark, sf_dir) -> DataFrame:
-    """Ingested messages, label requests and posts added by hand, in one set."""
+def _message_sources(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scored messages: ingested ones, label requests and posts added by hand."""
     scored = derived.scored_posts(spark, sf_dir)
     selected = labelling.select_to_label(scored.where(F.col("notify").isNull()), LABEL_COUNT)
     found, _ = labelling.find_selected(selected, scored)
-    added = labelling.add_messages(_downloads(spark, sf_dir))
-    ingested = derived.messages(spark, sf_dir)
     scores = scored.select("site", "post_id", "score")
-    forced = routing.merge_messages(labelling.label_messages(found), added).join(
-        scores, ["site", "post_id"], "left"
-    )
-    return routing.merge_messages(ingested, forced)
+    label_requests = labelling.label_messages(found).join(scores, ["site", "post_id"], "left")
+    added = labelling.add_messages(_downloads(spark, sf_dir)).join(scores, ["site", "post_id"], "left")
+    return derived.messages(spark, sf_dir), label_requests, added
+
+
+def _all_messages(spark, sf_dir) -> DataFrame:
+    """The messages of all sources in one set."""
+    return routing.merge_messages(*_message_sources(spark, sf_dir))
 
 
 def _downloads(spark, sf_dir) -> DataFrame:
@@ -87,6 +90,36 @@ def stream_route(spark, sf_dir) -> DataFrame:
     return sent.select("post_id", "set_notify", "skip_write", "score", "classify_error")
 
 
+def stream_notifications(spark, sf_dir) -> DataFrame:
+    """Ingested messages, label requests and posts added by hand as one stream, started again after it ended."""
+    base = shared_dir(spark, "notify")
+    ingested, label_requests, added = _message_sources(spark, sf_dir)
+    streams = []
+    for name, rows in (("ingested", ingested), ("label", label_requests), ("added", added)):
+        rows.write.parquet(f"{base}/{name}")
+        streams.append(stream_messages(spark, f"{base}/{name}", rows.schema))
+    out = f"{base}/notifications"
+    for _ in range(2):
+        start_notifier(merged_stream(*streams), out, f"{base}/checkpoint").awaitTermination()
+    sent = spark.read.parquet(out)
+    return sent.select("post_id", "set_notify", "skip_write", "score", "classify_error")
+
+
+def route_replies(spark, sf_dir) -> DataFrame:
+    """Messages routed by the classifier's JSON answers, some of which are refusals and some cut short."""
+    answered = F.struct(
+        F.lit(True).alias("success"), F.col("post_id").alias("id"), "site", (F.col("score") >= 0.5).alias("notify"), "score"
+    )
+    refused = F.struct(F.lit(False).alias("success"), F.lit("invalid_request").alias("error"), F.lit("no description").alias("error_description"))
+    body = F.when(F.col("description") == "", F.to_json(refused)).otherwise(F.to_json(answered))
+    cut = F.when(F.col("score") > 0.95, F.substring(body, 1, 20)).otherwise(body)
+    replies = derived.scored_posts(spark, sf_dir).select("site", "post_id", cut.alias("body"))
+    answers = decode_classification(replies).select("site", "post_id", "score", "classify_failure")
+    messages = derived.messages(spark, sf_dir).drop("score").join(answers, ["site", "post_id"])
+    routed = routing.route(messages)
+    return routed.select("post_id", "set_notify", "skip_write", "score", "classify_error", "classify_failure")
+
+
 def parse_callbacks(spark, sf_dir) -> DataFrame:
     log = derived.feedback(spark, sf_dir)
     data = F.concat(F.lit(" "), "op", F.lit("  "), "site", F.lit(" "), "post_id", F.lit("\n"))
@@ -499,6 +532,22 @@ QUERIES = {
             "SELECT post_id, round(distance, 6) AS distance FROM picked", B.POSTS, B.SCORED, _SELECTED
         ),
     ),
+    "stream_notifications": (
+        stream_notifications,
+        B.with_tables(_route_sql("all_messages", "-0.1::DOUBLE"), *_MSG),
+    ),
+    "route_replies": (
+        route_replies,
+        B.with_tables(
+            f"""SELECT r.*, CASE WHEN classify_error THEN CASE WHEN p.description = '' AND NOT p.score > 0.95 THEN 'no description'
+                                 ELSE 'answer not understood' END END AS classify_failure
+            FROM ({_route_sql("(SELECT post_id, set_notify, skip_write, CASE WHEN score <= 0.95 THEN score END AS score FROM messages)", "-0.1::DOUBLE")}) r
+                 JOIN scored p USING (post_id)""",
+            B.POSTS,
+            B.SCORED,
+            B.MESSAGES,
+        ),
+    ),
     "table_terms": (
         table_terms,
         B.with_tables("SELECT block, term, df, round(idf, 6) AS idf, round(weight, 6) AS weight FROM model", B.POSTS, _COUNTED),

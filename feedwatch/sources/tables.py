@@ -77,9 +77,31 @@ def decode_listing_reply(replies: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def broken_replies(replies: DataFrame, schema: T.StructType, needed: str, body: str = "body") -> DataFrame:
+    """The replies that can't be used, with ``reason``: no body, not JSON of this kind, or without the needed field."""
+    corrupt = "_broken"
+    with_corrupt = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    reply = F.from_json(body, with_corrupt, {"columnNameOfCorruptRecord": corrupt})
+    blank = F.col(body).isNull() | (F.trim(body) == "")
+    judged = replies.withColumn("_reply", reply)
+    reason = (
+        F.when(blank, "empty")
+        .when(F.col(f"_reply.{corrupt}").isNotNull() | F.col("_reply").isNull(), "not parsed")
+        .when(F.col(f"_reply.{needed}").isNull(), f"no {needed}")
+    )
+    return judged.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*replies.columns, "reason")
+
+
 def decode_classification(replies: DataFrame, body: str = "body") -> DataFrame:
+    """The classifier's answers: its fields, and ``classify_error`` where it failed or can't be read.
+
+    A failed answer has no score, so that ``routing.route`` counts it as failed.
+    """
     kept = [c for c in replies.columns if c != body]
-    return replies.withColumn("_r", F.from_json(body, S.CLASSIFICATION)).select(*kept, "_r.*")
+    answer = replies.withColumn("_r", F.from_json(body, S.CLASSIFICATION))
+    worked = F.coalesce(F.col("_r.success"), F.lit(False)) & F.col("_r.score").isNotNull()
+    why = F.when(~worked, F.coalesce("_r.error_description", "_r.error", F.lit("answer not understood")))
+    return answer.select(*kept, F.when(worked, F.col("_r.score")).alias("score"), F.when(worked, F.col("_r.notify")).alias("notify"), why.alias("classify_failure"))
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:

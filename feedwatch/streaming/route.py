@@ -31,8 +31,19 @@ def start_router(
     """Suppressed messages leave before the score is looked up; a post without score counts as failed."""
     pending = routing.to_classify(messages)
     scored = pending.join(scores.select("site", "post_id", "score"), ["site", "post_id"], "left")
+    return start_notifier(scored, out, checkpoint, threshold, trigger)
+
+
+def start_notifier(
+    messages: DataFrame,
+    out: str,
+    checkpoint: str,
+    threshold: float = routing.NOTIFICATION_THRESHOLD,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Scored messages routed to an append-only table; after a replay each is there once."""
     return (
-        routing.route(scored, threshold)
+        routing.route(messages, threshold)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", out)
@@ -42,6 +53,11 @@ def start_router(
     )
 
 
+def merged_stream(ingested: DataFrame, label_requests: DataFrame, added: DataFrame) -> DataFrame:
+    """The three sources of messages as one stream; columns a source lacks are NULL."""
+    return routing.merge_messages(ingested, label_requests, added)
+
+
 def start_classifier(
     posts: DataFrame,
     model: SiteModel,
