@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHasher, fold, stored, table
+from .common import fold, stored, table
 
 FOLDS = 5
 HELD_OUT = 1
@@ -56,6 +56,8 @@ SAMPLED = 16
 #: Hot words and pairs occur at least so often, which keeps their counts above K.
 HOT_LEAST = 1000
 BLOCK_TOKENS = 1_000_000
+#: Bytes of text that are hashed at once; only a single word may be longer.
+PIECE_BYTES = 1 << 20
 PART_TOKENS = 2_000_000
 #: A part is worked on in so many slices of its words.
 SLICES = 16
@@ -95,18 +97,90 @@ class Block:
         return h, w, np.repeat(np.arange(len(lengths)), lengths), np.array(self.train, bool)
 
 
+class WordBytes:
+    """64-bit hashes of the words of UTF-8 texts, A-Z lower-cased, computed for whole arrays of bytes at a time.
+
+    A word's hash is the sum of a random number for each byte times a power of an odd base, modulo 2^64. Running sums
+    over all bytes give the sum of any range, and a power of the base's inverse moves it to the range's start.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.of_byte = np.random.default_rng(9).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.of_byte[ord("A") : ord("Z") + 1] = self.of_byte[ord("a") : ord("z") + 1]
+        self.blank = np.zeros(256, bool)
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if n > len(self.powers):
+            size = max(n, 2 * len(self.powers))
+            factors = np.full(size, 1, np.uint64)
+            factors[1:] = self.BASE
+            self.powers = np.cumprod(factors)
+            factors[1:] = pow(self.BASE, -1, 1 << 64)
+            self.inverses = np.cumprod(factors)
+
+    def piece(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words in ``data``, and how many start before each border; no word goes over a border."""
+        blank = self.blank[data]
+        first, last = ~blank, ~blank
+        inner = borders[(borders > 0) & (borders < len(data))]
+        first[1:] &= blank[:-1]
+        first[inner] = ~blank[inner]
+        last[:-1] &= blank[1:]
+        last[inner - 1] = ~blank[inner - 1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.grow(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.of_byte[data] * self.powers[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.inverses[starts]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return np.where(h <= END, h + np.uint64(17), h), np.searchsorted(starts, borders)
+
+    def words(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The hashes of each text's words; a null text has none. Long texts are cut where a word ends."""
+        texts = texts.fill_null("").cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(texts):
+            at = offsets[row]
+            end = max(row + 1, int(np.searchsorted(offsets, at + PIECE_BYTES, "right")) - 1)
+            if offsets[end] - at <= PIECE_BYTES:
+                found, counts = self.piece(data[at : offsets[end]], offsets[row : end + 1] - at)
+                yield from np.split(found, counts[1:-1])
+            else:
+                yield np.concatenate([self.piece(part, np.zeros(0, np.int64))[0] for part in self.cut(data[at : offsets[end]])])
+            row = end
+
+    def cut(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(data):
+            end = at + PIECE_BYTES
+            while end < len(data):
+                step = np.flatnonzero(self.blank[data[end : end + PIECE_BYTES]])
+                if len(step):
+                    end += int(step[0])
+                    break
+                end += PIECE_BYTES
+            yield data[at:end]
+            at = end
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    hashes, block = WordHasher(), Block()
+    hashes, block = WordBytes(), Block()
     for b in batches:
-        columns = [b.column(b.schema.get_field_index(c)) for c in ("row", "id", "train", "text")]
-        for at in range(0, b.num_rows, 256):
-            for row, doc_id, train, text in zip(*[c.slice(at, 256).to_pylist() for c in columns], strict=True):
-                # bytes are lower-cased in ASCII only
-                found = hashes.array(WORD.findall(text.encode().lower().decode())) if text else np.zeros(0, np.uint64)
-                block.add(row, doc_id, train, np.where(found <= END, found + np.uint64(17), found))
-                if block.tokens >= BLOCK_TOKENS or len(block.rows) >= 60_000:
-                    yield block
-                    block = Block()
+        columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("row", "id", "train")]
+        words = hashes.words(b.column(b.schema.get_field_index("text")))
+        for row, doc_id, train, found in zip(*columns, words, strict=True):
+            block.add(row, doc_id, train, found)
+            if block.tokens >= BLOCK_TOKENS or len(block.rows) >= 60_000:
+                yield block
+                block = Block()
     if block.rows:
         yield block
 
