@@ -34,8 +34,8 @@ def percent_text(percent: Column) -> Column:
     return F.concat(F.coalesce(two_decimals(percent), F.lit("nan")), F.lit("%"))
 
 
-def post_link(site: Column, post_id: Column, url: Column) -> Column:
-    return F.when(site == "microblog", F.concat(F.lit(MICROBLOG_LINK), post_id)).otherwise(url)
+def microblog_link(post_id: Column) -> Column:
+    return F.concat(F.lit(MICROBLOG_LINK), post_id)
 
 
 def notification_text(score: Column, link: Column) -> Column:

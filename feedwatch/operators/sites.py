@@ -14,19 +14,6 @@ from ..sources import schemas as S
 _ONE_FIELD = 1
 
 
-@dataclass(frozen=True)
-class SiteSpec:
-    """What the engine needs to know about one kind of site."""
-
-    name: str
-    pretty: str
-    listing_schema: T.StructType
-    link: Callable[[Column, Column], Column]  # (post_id, url) -> link
-    body: Callable[[Column, Column], Column]  # (title, description) -> readable text
-    normalise_follow: Callable[[Column], Column]  # query -> normalised query or NULL
-    feed_types: tuple[str, ...]
-
-
 class SiteModel(Protocol):
     """A notification model of one site: sets in, sets out."""
 
@@ -39,6 +26,32 @@ class SiteModel(Protocol):
     def retrain(self, posts: DataFrame) -> SiteModel: ...
 
 
+@dataclass(frozen=True)
+class SiteSpec:
+    """What the engine needs to know about one kind of site. All else is the same for every site."""
+
+    name: str
+    pretty: str
+    listing_schema: T.StructType  # of the landed listing files
+    link: Callable[[Column, Column], Column]  # (post_id, url) -> link
+    body: Callable[[Column, Column], Column]  # (title, description) -> readable text
+    normalise_follow: Callable[[Column], Column]  # query -> normalised query or NULL
+    feed_types: dict[str, str]  # what a user picks -> feed type; of a site with one type it doesn't matter
+    first_mark: Callable[[Column], Column]  # time of the request -> mark that a new feed starts from
+    as_listing: Callable[[DataFrame], DataFrame] = lambda landed: landed  # landed files -> S.LISTING
+    train: Callable[[DataFrame, str], SiteModel] | None = None  # (posts, site) -> model; None: the engine's own
+
+    def feed_type(self, kind: Column) -> Column:
+        """Feed type of what the user picked; NULL for what the site doesn't offer."""
+        types = sorted(set(self.feed_types.values()))
+        if len(types) == 1:
+            return F.lit(types[0])
+        found = F.lit(None).cast("string")
+        for picked, feed_type in self.feed_types.items():
+            found = F.when(kind == picked, feed_type).otherwise(found)
+        return found
+
+
 def normalise_query(query: Column) -> Column:
     """The lower-cased query when it is exactly one white-space field, else NULL."""
     parts = formats.fields(query)
@@ -54,34 +67,57 @@ def _post_body(title: Column, description: Column) -> Column:
     return formats.full_text(title, text.display_text(description))
 
 
-SITES: dict[str, SiteSpec] = {
-    spec.name: spec
-    for spec in (
-        SiteSpec(
-            "gallery",
-            "Gallery",
-            S.LISTING,
-            link=lambda post_id, url: formats.post_link(F.lit("gallery"), post_id, url),
-            body=_post_body,
-            normalise_follow=normalise_query,
-            feed_types=("user", "tag"),
-        ),
-        SiteSpec(
-            "microblog",
-            "Microblog",
-            S.LISTING,
-            link=lambda post_id, url: formats.post_link(F.lit("microblog"), post_id, url),
-            body=_post_body,
-            normalise_follow=normalise_user,
-            feed_types=("user",),
-        ),
+SITES: dict[str, SiteSpec] = {}
+
+
+def register(spec: SiteSpec) -> None:
+    """Make a site known under its name and its pretty name, neither of which may be taken."""
+    taken = {n for s in SITES.values() for n in (s.name, s.pretty)}
+    if taken & {spec.name, spec.pretty}:
+        raise ValueError(f"a site is registered as {spec.name} or {spec.pretty} already")
+    SITES[spec.name] = spec
+
+
+register(
+    SiteSpec(
+        "gallery",
+        "Gallery",
+        S.LISTING,
+        link=lambda post_id, url: url,
+        body=_post_body,
+        normalise_follow=normalise_query,
+        feed_types={"Tag": "tag", "User": "user"},
+        first_mark=formats.history_start,
+    )
+)
+register(
+    SiteSpec(
+        "microblog",
+        "Microblog",
+        S.LISTING,
+        link=lambda post_id, url: formats.microblog_link(post_id),
+        body=_post_body,
+        normalise_follow=normalise_user,
+        feed_types={"User": "user"},
+        first_mark=lambda now: F.lit(0),
     )
-}
+)
+
+
+def site_listing(spark: SparkSession, path: str, site: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """Landed listing files of a site as rows of S.LISTING; a stream if ``files_per_trigger`` is given."""
+    spec = SITES[site]
+    reader = spark.read if files_per_trigger is None else spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    return spec.as_listing(reader.format(fmt).schema(spec.listing_schema).load(path)).select(*S.LISTING.fieldNames())
 
 
-def sites_frame(spark: SparkSession) -> DataFrame:
-    rows = [(s.name, s.pretty) for s in SITES.values()]
-    return spark.createDataFrame(rows, "site string, pretty string")
+def site_link(site: Column, post_id: Column, url: Column) -> Column:
+    """The link to a post; the stored URL where the site isn't known."""
+    return per_site(site, lambda s: s.link(post_id, url), otherwise=url)
+
+
+def site_body(site: Column, title: Column, description: Column) -> Column:
+    return per_site(site, lambda s: s.body(title, description), otherwise=_post_body(title, description))
 
 
 def resolve_site(site_arg: Column) -> Column:
@@ -96,9 +132,9 @@ def resolve_site(site_arg: Column) -> Column:
     return found
 
 
-def per_site(site: Column, pick: Callable[[SiteSpec], Column]) -> Column:
+def per_site(site: Column, pick: Callable[[SiteSpec], Column], otherwise: Column | None = None) -> Column:
     """A column chosen by the row's site."""
-    chosen = F.lit(None)
+    chosen = F.lit(None) if otherwise is None else otherwise
     for spec in SITES.values():
         chosen = F.when(site == spec.name, pick(spec)).otherwise(chosen)
     return chosen
@@ -115,11 +151,7 @@ def follow_requests(requests: DataFrame, now: Column) -> DataFrame:
     ``kind`` is what the user picked (``Tag`` / ``User``); sites with one feed type ignore it.
     """
     site = resolve_site(F.col("site_arg"))
-    kind = (
-        F.when(site == "microblog", "user")
-        .when(F.col("kind") == "Tag", "tag")
-        .when(F.col("kind") == "User", "user")
-    )
+    kind = per_site(site, lambda s: s.feed_type(F.col("kind")))
     query = per_site(F.col("site"), lambda s: s.normalise_follow(F.col("text")))
     checked = requests.withColumn("site", site).withColumn("feed_type", kind)
     checked = checked.withColumn("query", query)
@@ -130,7 +162,7 @@ def follow_requests(requests: DataFrame, now: Column) -> DataFrame:
         .when(F.col("query").isNull(), "query must be one word"),
     ).withColumn(
         "last_post_time",
-        F.when(F.col("site") == "microblog", F.lit(0)).otherwise(formats.history_start(now)).cast("bigint"),
+        per_site(F.col("site"), lambda s: s.first_mark(now), otherwise=formats.history_start(now)).cast("bigint"),
     )
 
 

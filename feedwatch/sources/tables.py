@@ -16,10 +16,6 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.POST).parquet(path)
 
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.FEED).parquet(path)
-
-
 def read_listing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(S.LISTING).load(path)
 
