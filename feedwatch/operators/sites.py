@@ -151,7 +151,8 @@ def follow_requests(requests: DataFrame, now: Column) -> DataFrame:
     ``kind`` is what the user picked (``Tag`` / ``User``); sites with one feed type ignore it.
     """
     site = resolve_site(F.col("site_arg"))
-    kind = per_site(site, lambda s: s.feed_type(F.col("kind")))
+    plain = F.when(F.col("kind") == "Tag", "tag").when(F.col("kind") == "User", "user")
+    kind = per_site(site, lambda s: s.feed_type(F.col("kind")), otherwise=plain)
     query = per_site(F.col("site"), lambda s: s.normalise_follow(F.col("text")))
     checked = requests.withColumn("site", site).withColumn("feed_type", kind)
     checked = checked.withColumn("query", query)
