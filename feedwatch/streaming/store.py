@@ -124,10 +124,16 @@ class PostStore:
 
     def write_states(self, inserted: DataFrame, feedback: DataFrame | None, batch_id: int) -> None:
         """What a batch did to posts: the inserts first, then the feedback that came with it."""
-        log = inserted.select(F.lit(-1).cast("long").alias("seq"), F.lit("insert").alias("op"), *S.POST_KEYS)
-        if feedback is not None:
-            log = log.unionByName(feedback.where("op IN ('cb_true', 'cb_false', 'cb_delete')").select("seq", "op", *S.POST_KEYS))
-        states = self.with_keys(fold_stretch(log).withColumn("stored_at", F.when(F.col("inserted"), F.lit(batch_id).cast("long"))))
+        if feedback is None:
+            unlabelled = F.lit(None).cast("boolean")
+            folded = inserted.select(
+                *S.POST_KEYS, F.lit(False).alias("deleted"), F.lit(True).alias("inserted"), unlabelled.alias("label_any"), unlabelled.alias("label_live")
+            )
+        else:
+            log = inserted.select(F.lit(-1).cast("long").alias("seq"), F.lit("insert").alias("op"), *S.POST_KEYS)
+            presses = feedback.where("op IN ('cb_true', 'cb_false', 'cb_delete')")
+            folded = fold_stretch(log.unionByName(presses.select("seq", "op", *S.POST_KEYS)))
+        states = self.with_keys(folded.withColumn("stored_at", F.when(F.col("inserted"), F.lit(batch_id).cast("long"))))
         self.states.write(states, batch_id)
         written = self.states.read_runs([(batch_id, batch_id)])
         self.filter.write(written.groupBy("bucket", "word").agg(F.expr("bit_or(mask)").alias("bits")), batch_id)
