@@ -1,7 +1,7 @@
 """Text to tokens, as column expressions only.
 
 The patterns use no look-around and no back-reference except in ``shorten_runs``, and
-no nested repetition over single characters, so that long texts cannot exhaust the
+nested repetition only where it is possessive, so that long texts cannot exhaust the
 regex engine's stack. No branch limits a token's length.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -44,13 +44,33 @@ TOKEN_BRANCHES = {
 TOKEN_PATTERN = "|".join(f"(?:{p})" for p in TOKEN_BRANCHES.values())
 
 RUN_PATTERN = r"([^a-zA-Z0-9])\1{3,}"
-HTML_PATTERN = (
-    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
-    r"|<!--.*?-->|</?[a-z!?][^<>]*>"
-)
 ENTITY_PATTERN = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 # ----------------------------------------------------------------------------------
 
+#: References of an HTML text, which may end without a semicolon.
+HTML_ENTITY_PATTERN = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?"
+
+
+def html_pattern(only: str = "+") -> str:
+    """Everything in an HTML string that is no text: tags, comments, and elements whose content is hidden.
+
+    A quoted attribute value may hold ``>``; a quote elsewhere is a plain sign. What isn't closed reaches to the
+    end of the string, so that no start is tried in vain and a scan stays linear. ``only`` makes quantifiers
+    possessive, which keeps Java's matcher from recursing; as every first choice leads to a match, they match
+    the same without it.
+    """
+    blank = r"[\t\n\f\r ]"
+    value = rf"\"[^\"]*{only}(?:\"|\z)|'[^']*{only}(?:'|\z)|[^\t\n\f\r >\"'][^\t\n\f\r >]*{only}"
+    inside = rf"(?:[^>=]+{only}|={blank}*{only}(?:{value})?{only})*{only}"
+    after_name = rf"(?:[\t\n\f\r /]{inside})?{only}"
+    hidden = "|".join(rf"<{n}{after_name}(?:>.*?(?:</{n}{after_name}(?:>|\z)|\z)|\z)" for n in ("script", "style", "template"))
+    comment = r"<!--(?:-?>|.*?(?:--!?>|\z))"
+    tag = rf"</?[a-z][^\t\n\f\r />]*{only}{inside}(?:>|\z)"
+    return rf"(?is){hidden}|{comment}|{tag}|</>|<(?:[!?]|/[^a-z>])[^>]*{only}(?:>|\z)"
+
+
+HTML_PATTERN = html_pattern()
+
 
 @functools.lru_cache(maxsize=None)
 def numeric_class() -> str:
@@ -63,11 +83,18 @@ def numeric_class() -> str:
     return r"[\p{N}" + "".join(letters) + "]"
 
 
+@functools.lru_cache(maxsize=None)
+def open_names() -> tuple[str, ...]:
+    """Named references that hold even if other letters follow instead of a semicolon; longer ones first."""
+    return tuple(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 @functools.lru_cache(maxsize=None)
 def entity_map() -> dict[str, str]:
     """Character of every named entity, and of the numeric references that mean code page 1252."""
     chars = {name: chr(cp) for name, cp in name2codepoint.items()}
     chars["apos"] = "'"
+    chars |= {name: html5[name] for name in open_names()}
     for byte in range(0x80, 0xA0):
         char = bytes([byte]).decode("cp1252", errors="ignore")
         if char:
@@ -101,19 +128,21 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def decode_entities(text: Column, unknown: str = "keep") -> Column:
-    """HTML entities to characters in one pass, so ``&amp;lt;`` becomes ``&lt;``.
+def decode_entities(text: Column, html: bool = True) -> Column:
+    """Entities to characters in one pass, so ``&amp;lt;`` becomes ``&lt;``.
 
-    ``unknown`` is ``keep`` (leave the reference as written) or ``drop``.
+    As HTML, a reference needs no semicolon: a known name or number counts, else the longest name that may be left
+    open, and the rest stays as written. Otherwise a reference needs one, and unknown references vanish.
     """
-    return _bind(text, lambda t: F.when(t.contains("&"), _decode_all(t, unknown)).otherwise(t))
+    return _bind(text, lambda t: F.when(t.contains("&"), _decode_all(t, html)).otherwise(t))
 
 
-def _decode_all(text: Column, unknown: str) -> Column:
+def _decode_all(text: Column, html: bool) -> Column:
     named = F.create_map(*[F.lit(x) for pair in entity_map().items() for x in pair])
+    pattern = HTML_ENTITY_PATTERN if html else ENTITY_PATTERN
 
     def one(entity: Column) -> Column:
-        body = F.regexp_extract(entity, "^&(.*);$", 1)
+        body = F.regexp_extract(entity, "^&(.*?);?$", 1)
         hexadecimal = F.regexp_extract(body, "^#[xX]0*([0-9A-Fa-f]{1,8})$", 1)
         digits = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(
             F.regexp_extract(body, "^#([0-9]+)$", 1)
@@ -123,12 +152,16 @@ def _decode_all(text: Column, unknown: str) -> Column:
         by_point = F.when(
             valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
         )
-        fallback = entity if unknown == "keep" else F.lit("")
         key = F.when(point.isNotNull(), F.concat(F.lit("#"), point.cast("string"))).otherwise(body)
-        return F.coalesce(F.try_element_at(named, key), by_point, fallback)
+        return F.coalesce(F.try_element_at(named, key), by_point, opened(entity) if html else F.lit(""))
+
+    def opened(entity: Column) -> Column:
+        name = F.regexp_extract(entity, f"^&({'|'.join(open_names())})", 1)
+        rest = F.substr(entity, F.length(name) + 2)
+        return F.when(name != "", F.concat(F.try_element_at(named, name), rest)).otherwise(entity)
 
-    between = F.split(text, ENTITY_PATTERN, -1)
-    entities = F.regexp_extract_all(text, F.lit(ENTITY_PATTERN), F.lit(0))
+    between = F.split(text, pattern, -1)
+    entities = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.array_join(
         F.zip_with(
             between,
@@ -159,7 +192,7 @@ def shorten_runs(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Social-text tokens: entities decoded, long runs cut, then one alternation over the text."""
-    clean = shorten_runs(decode_entities(text, unknown="drop"))
+    clean = shorten_runs(decode_entities(text, html=False))
     return F.regexp_extract_all(clean, F.lit(TOKEN_PATTERN), F.lit(0))
 
 

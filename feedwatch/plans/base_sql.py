@@ -177,21 +177,24 @@ def quote(value: str) -> str:
 _TOKEN_PATTERN = text.TOKEN_PATTERN
 
 
-def decode_entities_sql(expr: str, unknown: str) -> str:
+def decode_entities_sql(expr: str, html: bool = True) -> str:
     """Entities of ``expr`` decoded in one pass (named ones and numeric ones)."""
     names = ", ".join(quote(k) for k in text.entity_map())
     chars = ", ".join(quote(v) for v in text.entity_map().values())
-    pattern = quote(text.ENTITY_PATTERN)
-    fallback = "e" if unknown == "keep" else "''"
+    pattern = quote(text.HTML_ENTITY_PATTERN if html else text.ENTITY_PATTERN)
+    named = f"MAP([{names}], [{chars}])"
+    body = "rtrim(e[2:], ';')"
+    opened = f"regexp_extract(e, {quote('^&(' + '|'.join(text.open_names()) + ')')}, 1)"
+    fallback = f"CASE WHEN {opened} <> '' THEN {named}[{opened}] || e[2 + length({opened}):] ELSE e END" if html else "''"
     point = (
-        "CASE WHEN regexp_matches(e, '^&#[xX][0-9A-Fa-f]+;$')"
-        " THEN TRY_CAST('0x' || e[4:-2] AS BIGINT)"
-        " WHEN e[2:2] = '#' THEN TRY_CAST(e[3:-2] AS BIGINT) END"
+        f"CASE WHEN regexp_matches({body}, '^#[xX][0-9A-Fa-f]+$')"
+        f" THEN TRY_CAST('0x' || {body}[3:] AS BIGINT)"
+        f" WHEN e[2:2] = '#' THEN TRY_CAST({body}[2:] AS BIGINT) END"
     )
     valid = f"({point}) BETWEEN 1 AND 55295 OR ({point}) BETWEEN 57344 AND 1114111"
-    key = f"coalesce('#' || ({point}), e[2:-2])"
+    key = f"coalesce('#' || ({point}), {body})"
     one = (
-        f"coalesce(MAP([{names}], [{chars}])[{key}],"
+        f"coalesce({named}[{key}],"
         f" CASE WHEN {valid} THEN chr(({point})::INT) END, {fallback})"
     )
     return (
@@ -203,7 +206,7 @@ def decode_entities_sql(expr: str, unknown: str) -> str:
 
 
 def strip_html_sql(expr: str, sep: str = "''") -> str:
-    return f"regexp_replace({expr}, {quote(text.HTML_PATTERN)}, {sep}, 'g')"
+    return f"regexp_replace({expr}, {quote(text.html_pattern(''))}, {sep}, 'g')"
 
 
 def tokens_ctes(source: str, id_col: str, blocks: dict[str, str]) -> str:
@@ -218,7 +221,7 @@ def tokens_ctes(source: str, id_col: str, blocks: dict[str, str]) -> str:
     numeric = quote(f"^{text.numeric_class()}+$")
     return f"""
 prepared AS MATERIALIZED ({prepared}),
-decoded AS MATERIALIZED (SELECT {id_col}, block, {decode_entities_sql('txt', 'drop')} AS txt FROM prepared),
+decoded AS MATERIALIZED (SELECT {id_col}, block, {decode_entities_sql('txt', html=False)} AS txt FROM prepared),
 chars AS (
   SELECT {id_col}, block, unnest(cs) AS ch, unnest(range(len(cs))) AS i
   FROM (SELECT {id_col}, block, regexp_extract_all(txt, '(?s).') AS cs FROM decoded)),
@@ -237,7 +240,7 @@ tokens AS (
 
 
 def post_tokens_ctes() -> str:
-    description = decode_entities_sql(strip_html_sql("lower(description)"), "keep")
+    description = decode_entities_sql(strip_html_sql("lower(description)"))
     return tokens_ctes("posts", "post_id", {"title": "lower(title)", "description": description})
 
 

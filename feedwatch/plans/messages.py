@@ -467,7 +467,7 @@ _DISPLAYED = B.strip_html_sql("description", "chr(10)")
 _PRINTED_SQL = f"""
 SELECT post_id, round(score, 6) AS score,
        'Score: ' || printf('%.2f', score) || chr(10) || title || chr(10) || repeat('-', 86) || chr(10)
-       || regexp_replace(regexp_replace({B.decode_entities_sql(_DISPLAYED, 'keep')},
+       || regexp_replace(regexp_replace({B.decode_entities_sql(_DISPLAYED)},
             '[ \\t\\r\\f]*\\n[ \\t\\r\\f\\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS text
 FROM table_scored WHERE post_id IN (SELECT post_id FROM feedback WHERE op = 'cb_print')"""
 

@@ -207,10 +207,10 @@ def tfidf_weights(spark, sf_dir) -> DataFrame:
 
 _DISPLAY_SQL = (
     "regexp_replace(regexp_replace("
-    + B.decode_entities_sql(B.strip_html_sql("html", "chr(10)"), "keep")
+    + B.decode_entities_sql(B.strip_html_sql("html", "chr(10)"))
     + r", '[ \t\r\f]*\n[ \t\r\f\n]*', chr(10), 'g'), '^\n+|\n+$', '', 'g')"
 )
-_PAGE_TEXT = B.decode_entities_sql(B.strip_html_sql("lower(html)"), "keep")
+_PAGE_TEXT = B.decode_entities_sql(B.strip_html_sql("lower(html)"))
 
 QUERIES = {
     "author_stats_top5": (
@@ -287,7 +287,7 @@ QUERIES = {
     "html_text": (
         html_text,
         "SELECT page_id::VARCHAR AS post_id, "
-        + B.decode_entities_sql(B.strip_html_sql("html"), "keep")
+        + B.decode_entities_sql(B.strip_html_sql("html"))
         + " AS text FROM pages",
     ),
     "page_tokens": (

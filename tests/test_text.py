@@ -1,7 +1,14 @@
+import random
+import time
+
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from feedwatch.functions import formats, text
+from feedwatch.plans import base_sql
+from feedwatch.plans.base_sql import quote
 
 
 def _one(spark, value, fn):
@@ -17,6 +24,19 @@ def _one(spark, value, fn):
         ("&amp;lt;", "&lt;"),
         ("&copy; &#65;&#x42; &#150; &nosuch; &", "© AB – &nosuch; &"),
         ("3 < 4 and 5 > 2", "3 < 4 and 5 > 2"),
+        ("<a title=\"1 > 0\" rel='x>y'>b</a>c", "bc"),
+        ("<a t = \"x>\" u=v\"w>b", "b"),
+        ("<p it's>a</p>", "a"),
+        ("<p class=a=\">\">b", "\">b"),
+        ("<a\nx=\"\n>\">b</a\n>c", "bc"),
+        ("<SCRIPT src=\"</script>\">a</script >b", "b"),
+        ("<scripty>a</scripty>b", "ab"),
+        ("a<script>b", "a"),
+        ("a<!-- b --!>c<!-->d<!--->e<!-- f", "acde"),
+        ("<!doctype html><?xml a?></ x>b</>c", "bc"),
+        ("a<b title=\"c>d", "a"),
+        ("a <b", "a "),
+        ("&copy 2020 &hellip. &copyright &notit; &notin; &AMP &#65b &#x42 &nosuch", "© 2020 …. ©right ¬it; ∉ & Ab B &nosuch"),
         ("", ""),
     ],
 )
@@ -24,6 +44,26 @@ def test_strip_html(spark, html, expected):
     assert _one(spark, html, text.strip_html) == expected
 
 
+def test_html_pattern_means_the_same_with_and_without_possessive_quantifiers(spark):
+    """Random strings of HTML's signs, here and in the other regex engine, entities included."""
+    rng = random.Random(7)
+    parts = ["<", ">", "/", "!", "--", "=", '"', "'", " ", "\n", "a", "b=", "<a ", "</a", "<script", "</script>", "&amp", "&lt;", "&copyx;", "&#6", "5;"]
+    made = ["".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(made)), "id long, html string")
+    got = {r["id"]: r["r"] for r in rows.select("id", text.strip_html(F.col("html"), "|").alias("r")).collect()}
+    con = duckdb.connect()
+    con.register("pages", pa.table({"id": range(len(made)), "html": made}))
+    sql = f"SELECT id, {base_sql.decode_entities_sql(base_sql.strip_html_sql('html', quote('|')))} AS r FROM pages"
+    assert got == dict(con.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', "<a x=", "<script>", "<!--", "<a b='c' ", "</", "=", "<a x=y"])
+def test_html_takes_time_linear_in_its_length(spark, unit):
+    started = time.monotonic()
+    assert _one(spark, unit * (400_000 // len(unit)), text.strip_html) is not None
+    assert time.monotonic() - started < 20
+
+
 def test_strip_html_separator(spark):
     assert _one(spark, "a<br>b", lambda c: text.strip_html(c, " ")) == "a b"
 
