@@ -16,7 +16,8 @@
    at most ``repeats`` times its words.
 
 Shards hold about ``SHARD_WORDS`` words each, so a hot source has many shards and no
-window holds a whole source's documents. The windows over sources and over the shards
+window holds a whole source's documents. A document's place comes from its id and its text, so rows
+without an id, or with one and the same, are spread as others are. The windows over sources and over the shards
 of a source see one row for each of them. Text is read once, for the sizes; what is
 stored and shuffled is an id, a source and a number.
 
@@ -40,13 +41,14 @@ SEED = "mix"
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, no_source and size (words) of every document."""
+    """doc_id, source, no_source, size (words) and mark (a hash of the text) of every document."""
     words = F.regexp_count(F.col(text), F.lit(WORD_PATTERN))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
         F.col(source).isNull().alias("no_source"),
         F.coalesce(words, F.lit(0)).cast("long").alias("size"),
+        F.md5(F.coalesce(F.col(text), F.lit(""))).alias("mark"),
     )
 
 
@@ -108,7 +110,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REP
     aimed = aimed.withColumn("__all", F.lit("")).withColumn("blocks", all_blocks)
     aimed = apportion(aimed, ["__all"], keys, "target", "blocks").drop("__all", "blocks")
     aimed = aimed.withColumnRenamed("quota", "source_quota").withColumn("shards", F.ceil((F.col("source_size") + 1) / shard_words))
-    placed = sized.withColumn("place", hashed(F.col("doc_id")))
+    placed = sized.withColumn("place", hashed(F.col("doc_id"), F.col("mark")))
     # dealt by shard at once: a partitioning by source would put a hot source's documents in one task
     placed = placed.join(aimed, keys).withColumn("shard", F.col("place") % F.col("shards")).repartition(*keys, "shard")
     shards = placed.groupBy(*keys, "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
@@ -162,7 +164,7 @@ def mix_ctes(docs: str = "documents") -> str:
     return f"""
 sized AS (
   SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS no_source,
-         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {docs}),
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS mark FROM {docs}),
 sums AS (SELECT no_source, source, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL),
 by_source AS (
   SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY no_source, source) - 1) % 3] AS weight FROM sums),
@@ -176,7 +178,7 @@ aimed AS (
 {_apportion_sql("by_quota", "aimed", "everything", "no_source, source", "target", "blocks")},
 placed AS (
   SELECT d.doc_id, d.no_source, d.source, d.size, q.source_size, q.target, q.quota AS source_quota,
-         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS place,
+         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || mark), 1, 8))::BIGINT AS place,
          place % ceil((q.source_size + 1)::DOUBLE / {SHARD_WORDS})::BIGINT AS shard
   FROM sized d JOIN by_quota q USING (no_source, source)),
 shards AS (
