@@ -18,7 +18,8 @@ covers become added spans, words that follow each other and have one label toget
 
 The potentials are fitted piece by piece, as smoothed log ratios of how often labels
 go with features, neighbours and skip edges, counted over a bounded hash sample of the documents with
-the base spans as labels. The counts are a small table of fixed kinds. Fitting and labelling
+the base spans as labels. The counts are a small table of fixed kinds, and of word shapes, of which the ``SHAPES``
+most frequent count. Fitting and labelling
 read whole texts in Spark tasks; nothing is shuffled but those counts.
 
 Nulls and empty texts have no spans. Repeated rows are handled one by one. An empty table
@@ -27,6 +28,7 @@ gives an empty result. Extra columns aren't read. All scans are linear in the te
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK, map_texts, table
+from .common import BLANK, map_texts, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -48,8 +50,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CANDIDATE = re.compile(r"[0-9@]")
 EDGE = ".,;:!?()[]{}<>\"'"
-#: Documents the potentials are counted on, at most (about, by a hash of the text).
+#: Documents the potentials are counted on, at most (about, by a hash of id and text).
 SAMPLE = 20_000
+#: Word shapes that have a potential, at most: the most frequent ones. All other potentials are of a fixed number.
+SHAPES = 20_000
 SURE = 0.9
 #: Messages have settled when none changes by more. Loops needn't settle: sweeps stop at the given number then.
 SETTLED, SWEEPS = 1e-6, 100
@@ -114,8 +118,20 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 def shape(word: str) -> str:
-    """Runs of digits as 9, of letters as a, other signs as they are; 12 signs at most tell enough."""
-    return re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", word)))[:12]
+    """Runs of digits as 9, of letters as a, other signs as they are; a long one is named by its hash."""
+    whole = re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", word)))
+    return whole if len(whole) <= 32 else hashlib.md5(whole.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def word_before(text: str, at: int) -> str:
+    """The whole word that ends before ``at``; it is looked for in twice as many signs until it is found whole."""
+    reach = 32
+    while True:
+        start = max(0, at - reach)
+        found = text[start:at].split()
+        if start == 0 or len(found) > 1 or (found and text[start].isspace()):
+            return found[-1] if found else ""
+        reach *= 2
 
 
 class Graph:
@@ -135,8 +151,7 @@ class Graph:
         places: dict[str, list[int]] = {}
         for k, (a, b) in enumerate(self.words):
             word = text[a:b].strip(EDGE)
-            before = text[max(0, a - 24) : a].split()
-            cue = before[-1].strip(EDGE).lower() if before else ""
+            cue = word_before(text, a).strip(EDGE).lower()
             self.features.append((f"shape {shape(word)}", f"digits {min(20, sum(c.isdigit() for c in word))}", f"cue {cue}" if cue in CUES else "no cue"))
             if k and not text[self.words[k - 1][1] : a].strip():
                 self.near.append((k - 1, k))
@@ -281,11 +296,18 @@ def find(text: str | None, field: Field) -> tuple[list, list]:
     return base, added_spans(text, g, field) if len(g.words) > (g.base > 0).sum() else []
 
 
-def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
-    """Potentials from about ``sample`` documents at most."""
+def sampled(docs: DataFrame, text: str, sample: int, doc_id: str) -> DataFrame:
     n = docs.count()
     share = min(1.0, sample / max(1, n))
-    chosen = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000))
+    return docs.select(text).where(F.pmod(F.xxhash64(doc_id, text), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, doc_id: str = "doc_id", shapes: int = SHAPES) -> Field:
+    """Potentials from about ``sample`` documents at most, with those of the ``shapes`` most frequent word shapes.
+
+    Texts that many documents share are sampled document by document, by their ids.
+    """
+    chosen = sampled(docs, text, sample, doc_id)
     event = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.IntegerType()), T.StructField("times", T.LongType())])
 
     def start():
@@ -297,8 +319,11 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
 
     made = map_texts(chosen, T.StructType([T.StructField("events", T.ArrayType(event))]), start, text)
     totals = made.select(F.inline("events")).groupBy("name", "value").agg(F.sum("times").alias("times"))
-    common = totals.where((F.col("times") >= 3) | ~F.startswith("name", F.lit("word\tshape")))
-    return Field({(r["name"], r["value"]): r["times"] for r in common.orderBy(F.desc("times"), "name", "value").limit(5000).collect()})
+    totals = stored(totals, "events")
+    is_shape = F.startswith("name", F.lit("word\tshape"))
+    by_shape = totals.where(is_shape).groupBy("name").agg(F.sum("times").alias("n")).where("n >= 3").orderBy(F.desc("n"), "name").limit(shapes)
+    kept = totals.where(~is_shape).unionAll(totals.join(by_shape.select("name"), "name", "left_semi"))
+    return Field({(r["name"], r["value"]): r["times"] for r in kept.collect()})
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
