@@ -52,11 +52,12 @@ def features(text: str | None, hashes: TokenHasher) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, limit: int) -> DataFrame:
-    """Documents with a label of 0 or 1, about ``limit`` at most; the few labels are broadcast."""
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, limit: int, text: str = "text") -> DataFrame:
+    """Texts and __label of documents with a label of 0 or 1, about ``limit`` at most; the few labels are broadcast."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label"))
     chosen = F.broadcast(bounded_sample(known, "__id", limit))
-    return docs.join(chosen, F.col(doc_id) == F.col("__id")).drop("__id")
+    read_docs = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+    return read_docs.join(chosen, F.col("__doc") == F.col("__id")).select(F.col("__text").alias(text), "__label")
 
 
 @dataclass
