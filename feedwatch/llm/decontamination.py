@@ -10,10 +10,13 @@ and the words there are then compared with all of the window's, in order.
 The document's words stay an array beside the exploded position, so candidates are
 compared in the task that made them, in generated code: the join needs no shuffle of text
 and no second read. The window table goes to every executor in slices of at most
-``SLICE`` windows, whatever the size of the benchmark: a larger benchmark means more passes
-over the documents, and never a larger broadcast. Rows that are shuffled are a row number and
-a span of words for windows found. Hot passages spread by document. The text column is read
-twice for a benchmark of one slice: once to count rarity, once to find the windows.
+``SLICE`` windows, cut by a hash of the window, so that windows which share their rarest word
+lie in different slices: a larger benchmark means more passes over the documents, and never
+a larger broadcast. A slice holds a number for each window; the items of the windows found
+are joined later, by document and number, so a passage of many items is broadcast once and
+no longer than others. Rows that are shuffled are a row number and a span of words, or a window's
+number. Hot passages spread by document. The text column is read twice for a benchmark of
+one slice: once to count rarity, once to find the windows. Texts of any length are handled whole.
 
 All is DataFrame functions. Nulls, empty texts and texts without a word have no words and no
 hits; an item without a word has no window. Items with a null id make words hit, but are
@@ -43,12 +46,16 @@ def text_words(text: Column) -> Column:
     return F.when(F.trim(plain) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(plain), " "))
 
 
-def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(window, items): each distinct window with the ids of its items."""
+def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """(item, window): every window of each item."""
     worded = items.select(F.col(item_id).cast("string").alias("item"), text_words(F.col(text)).alias("words"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
-    each = worded.where(F.size("words") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("window"))
-    return each.groupBy("window").agg(F.collect_set("item").alias("items"))
+    return worded.where(F.size("words") > 0).select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("window"))
+
+
+def numbered(windows: DataFrame) -> DataFrame:
+    """(number, window) of each distinct window; write it before using the numbers twice."""
+    return windows.select("window").distinct().withColumn("number", F.monotonically_increasing_id())
 
 
 def sliced(df: DataFrame, rows: int, by: str) -> list[DataFrame]:
@@ -69,19 +76,19 @@ def rarity(docs: DataFrame, text: str, made: DataFrame) -> DataFrame:
 
 
 def prefixes(made: DataFrame, times: DataFrame) -> DataFrame:
-    """(window, items, prefix, place): each window's rarest word and its place, from 0.
+    """(number, window, prefix, place): each window's rarest word and its place, from 0.
 
     Windows with a word that no document holds can't be found and are left out.
     """
-    placed = made.withColumn("number", F.xxhash64("window")).select("number", "window", "items", F.posexplode("window").alias("place", "prefix"))
-    order = Window.partitionBy("number", "window").orderBy("times", "prefix", "place")
+    placed = made.select("number", "window", F.posexplode("window").alias("place", "prefix"))
+    order = Window.partitionBy("number").orderBy("times", "prefix", "place")
     counted = placed.join(times, F.col("prefix") == F.col("word"), "left").withColumn("rank", F.row_number().over(order))
-    missing = F.max(F.col("times").isNull().cast("int")).over(Window.partitionBy("number", "window"))
-    return counted.withColumn("missing", missing).where("rank = 1 AND missing = 0").select("window", "items", "prefix", "place")
+    missing = F.max(F.col("times").isNull().cast("int")).over(Window.partitionBy("number"))
+    return counted.withColumn("missing", missing).where("rank = 1 AND missing = 0").select("number", "window", "prefix", "place")
 
 
 def found_windows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(row, n_words, begin, length, items) of every window found; and one row of length 0 for each document.
+    """(row, n_words, begin, length, number) of every window found; and one row of length 0 for each document.
 
     ``docs`` has row and words. The empty word after the last one meets the one empty
     prefix of ``chosen``, so documents without a hit stay in the result.
@@ -95,7 +102,7 @@ def found_windows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     ends = F.try_element_at("words", F.col("begin") + 1) == F.try_element_at("window", F.lit(1))
     same = ends & (F.slice("words", F.col("begin") + 1, F.col("length")) == F.col("window"))
     met = met.where((F.col("prefix") == "") | F.when(fits, same).otherwise(False))
-    return met.select("row", "n_words", "begin", "length", "items")
+    return met.select("row", "n_words", "begin", "length", "number")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -103,22 +110,26 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     spans are the found windows as (begin, end) in words, sorted.
     """
-    made = stored(windows(items, "item_id", "text", size), "windows")
+    every = stored(item_windows(items, "item_id", text, size), "item-windows")
+    made = stored(numbered(every), "windows")
     times = rarity(docs, text, made)
     chosen = stored(prefixes(made, times), "prefixes")
-    parts = sliced(chosen, SLICE, "prefix")
+    parts = sliced(chosen, SLICE, "window")
     # a row number of its own keeps rows of the same id apart; it is the same whenever a task is run again
-    numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(doc_id).alias("id")).alias("row"), text_words(F.col(text)).alias("words"))
+    rows = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(doc_id).alias("id")).alias("row"), text_words(F.col(text)).alias("words"))
     end = docs.sparkSession.range(1).select(
-        F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"), F.lit("").alias("prefix"), F.lit(0).alias("place")
+        F.lit(None).cast("long").alias("number"), F.array().cast("array<string>").alias("window"), F.lit("").alias("prefix"), F.lit(0).alias("place")
     )
-    met = reduce(DataFrame.unionAll, [found_windows(numbered, p.unionAll(end)) for p in parts])
+    met = reduce(DataFrame.unionAll, [found_windows(rows, p.unionAll(end)) for p in parts])
     span = F.when(F.col("length") > 0, F.struct(F.col("begin").cast("int").alias("begin"), (F.col("begin") + F.col("length")).cast("int").alias("end")))
     by = met.groupBy("row").agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.sort_array(F.collect_set(span)).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_list"),
+        F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("number").alias("numbers")
     )
+    by = stored(by, "found")
+    named = every.where("item IS NOT NULL").join(made, "window").select("number", "item").distinct()
+    listed = by.select("row", F.explode("numbers").alias("number")).join(named, "number").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("item_list"))
+    of_row = F.coalesce(F.col("item_list"), F.array().cast("array<string>"))
+    by = by.join(listed, "row", "left").withColumn("item_list", of_row)
     return by.select(F.col("row.id").alias(doc_id), "n_words", covered(F.col("spans")).alias("n_hit"), F.size("item_list").cast("long").alias("n_items"), "item_list", "spans")
 
 
