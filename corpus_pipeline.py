@@ -24,6 +24,11 @@ def row_key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.md5("text"), F.lit("null")))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): the documents as one column beside their key, so that no column's name can clash."""
+    return docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row"))
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", toxicity.FOLDS) != toxicity.HELD_OUT)
@@ -37,21 +42,26 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of exact and near copies: the smallest id. Rows alike in id and text are one.
 
+    Of such rows the one with the smallest other columns stays, compared in the table's order as text, nulls first.
     Texts without a word are copies of nothing: all their rows stay.
     """
     classes = jaccard_join.jaccard_classes(docs)
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lower(F.hex("node")))
-    kept = classes.where("first").select(key.alias("__key"))
+    kept = classes.where("first").select(key.alias("key"))
     has_word = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
-    firsts = docs.where(has_word).withColumn("__key", row_key()).join(kept, "__key", "left_semi").dropDuplicates(["__key"])
-    return firsts.select(docs.columns).unionByName(docs.where(~has_word))
+    # values that can't be ordered, as maps, are compared as they are written
+    order = F.array(*[F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")], F.lit(""))
+    worded = docs.where(has_word)
+    ordered = worded.select(row_key().alias("key"), F.struct(*docs.columns).alias("row"), order.alias("order"))
+    firsts = ordered.join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", "order").alias("row"))
+    return firsts.select("row.*").unionByName(docs.where(~has_word))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    keyed = docs.select(row_key().alias("__key"), "text")
-    hit = decontamination.contaminated(keyed, table(spark, sf_dir, "benchmark"), "__key").where("n_hit > 0")
-    return docs.withColumn("__key", row_key()).join(hit.select("__key"), "__key", "left_anti").select(docs.columns)
+    texts = docs.select(row_key().alias("key"), "text")
+    hit = decontamination.contaminated(texts, table(spark, sf_dir, "benchmark"), "key").where("n_hit > 0")
+    return keyed(docs).join(hit.select("key"), "key", "left_anti").select("row.*")
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
