@@ -2,13 +2,16 @@
 
 Documents are sets of five-word shingles (a shorter text is one shingle of all its words).
 Documents of the same text are one node, so copies are never compared. A node's MinHash
-signature is cut into ``TRIES`` labels of ``DEPTH`` hashes; each label is a path in a
-prefix trie, and labels that sort next to each other share the longest prefixes. Prefixes
-are shortened from the full label, hash by hash, until the share of pairs at the threshold
-that meet in at least one trie, 1 - (1 - s^depth)^tries, reaches the target recall.
-
-Nodes that share a prefix are candidates. Every candidate group is linked as a star
-and the stars are joined to components, so candidates cost a row for each node and trie and not
+signature is cut into labels of ``DEPTH`` hashes, one for each trie; a label is a path in
+a prefix trie. All labels of a trie are sorted, so that every subtree is a run of neighbours, and
+neighbours are compared: the number of hashes they share is the depth of the subtree that
+holds both. Matched prefixes are shortened from the whole label, hash by hash, until the share
+of pairs at the threshold that meet in at least one trie, 1 - (1 - s^depth)^tries, reaches the target
+recall; where not even single hashes reach it, tries are added (see ``forest``).
+
+Neighbours that share the shortened prefix are candidates. The chains of neighbours of all tries
+are joined to components. The sort is by range of trie, label and node, so a
+subtree of any size is spread over tasks, and candidates cost a row for each node and trie and not
 one for each pair. Components are then verified exactly, in blocks: a component of any size
 is cut into blocks by a hash, each pair of blocks is one task's group, and what comes out of it is
 a row for each node: its number of verified links there and the block's component that they
@@ -28,10 +31,12 @@ hashes, texts by MD5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +44,10 @@ from .common import WORD, WordHasher, map_texts, stored, table
 
 WORDS = 5
 THRESHOLD = 0.8
+#: Tries to start with, hashes of a label, and the most tries that a low threshold may take.
 TRIES = 20
 DEPTH = 6
+MOST_TRIES = 500
 RECALL = 0.9999
 #: Nodes, and shingles, that a block holds on average at most.
 BLOCK_NODES = 256
@@ -48,9 +55,6 @@ BLOCK_SHINGLES = 500_000
 #: Shingles that are compared at a time in a block.
 COLUMNS = 4096
 
-_rng = np.random.default_rng(20_250_101)
-_MULTIPLY = _rng.integers(1, 1 << 63, TRIES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, TRIES * DEPTH, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,24 +73,46 @@ def shingles(text: str | None, hashes: WordHasher, size: int = WORDS) -> np.ndar
     return np.unique(mixed)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """TRIES x DEPTH smallest hashes, 16 bits of each; long texts go through in parts."""
-    least = np.full(TRIES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+@cache
+def hash_family(tries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of tries x DEPTH hash functions."""
+    rng = np.random.default_rng(20_250_101)
+    return rng.integers(1, 1 << 63, tries * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, tries * DEPTH, dtype=np.uint64)
+
+
+def signature(found: np.ndarray, tries: int = TRIES) -> np.ndarray:
+    """tries x DEPTH smallest hashes, 16 bits of each; long texts go through in parts."""
+    multiply, add = hash_family(tries)
+    least = np.full(tries * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 2048):
-        part = found[at : at + 2048, None] * _MULTIPLY + _ADD
+        part = found[at : at + 2048, None] * multiply + add
         least = np.minimum(least, (part ^ part >> np.uint64(32)).min(axis=0))
-    return ((least * _STEP) >> np.uint64(48)).astype(">u2").reshape(TRIES, DEPTH)
+    return ((least * _STEP) >> np.uint64(48)).astype(">u2").reshape(tries, DEPTH)
+
+
+def reached(threshold: float, depth: int, tries: int) -> float:
+    """Share of pairs at the threshold that share a prefix of ``depth`` hashes in some trie."""
+    return 1 - (1 - threshold**depth) ** tries
+
 
+def forest(threshold: float = THRESHOLD, recall: float = RECALL, tries: int = TRIES) -> tuple[int, int]:
+    """(tries, depth): the longest prefix that reaches the recall, with more tries where none does.
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs at the threshold meet with the target recall."""
+    A threshold that even ``MOST_TRIES`` tries don't serve is an error.
+    """
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("the threshold lies in (0, 1], the recall in (0, 1)")
     depth = DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** TRIES < recall:
+    while depth > 1 and reached(threshold, depth, tries) < recall:
         depth -= 1
-    return depth
+    while reached(threshold, depth, tries) < recall:
+        tries += 1
+        if tries > MOST_TRIES:
+            raise ValueError(f"{MOST_TRIES} tries don't find pairs of similarity {threshold} with recall {recall}")
+    return tries, depth
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, doc_id: str, text: str, tries: int = TRIES) -> DataFrame:
     """id, node (MD5 of the text), n_shingles and labels (a binary path for each trie)."""
     added = T.StructType([T.StructField("n_shingles", T.IntegerType()), T.StructField("labels", T.ArrayType(T.BinaryType()))])
 
@@ -95,7 +121,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         def sketch(texts):
             sets = [shingles(t, hashes) for t in texts]
-            return [[len(s) for s in sets], [[row.tobytes() for row in signature(s)] if len(s) else [] for s in sets]]
+            return [[len(s) for s in sets], [[row.tobytes() for row in signature(s, tries)] if len(s) else [] for s in sets]]
 
         return sketch
 
@@ -107,12 +133,48 @@ def node_of(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def shared_hashes(trie: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Hashes that each label, from the second on, shares with the one before it; 0 across tries."""
+    same = (labels[1:] == labels[:-1]) & (trie[1:] == trie[:-1])[:, None]
+    return np.cumprod(same, axis=1).sum(axis=1)
+
+
+def neighbours(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of sorted neighbours that share ``depth`` hashes; the first and last row as they are, with b null."""
+    schema = pa.schema([("trie", pa.int32()), ("label", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+    first = last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        trie, label, node = (batch.column(c).to_pylist() for c in ("trie", "label", "node"))
+        if last is None:
+            first = (trie[0], label[0], node[0])
+        else:
+            trie, label, node = [last[0], *trie], [last[1], *label], [last[2], *node]
+        last = (trie[-1], label[-1], node[-1])
+        shared = shared_hashes(np.array(trie), np.frombuffer(b"".join(label), ">u2").reshape(len(label), -1))
+        met = np.flatnonzero(shared >= depth)
+        none = pa.nulls(len(met))
+        a, b = ([node[i] for i in at.tolist()] for at in (met + 1, met))
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+    ends = [first] if first == last else [first, last]
+    if first is not None:
+        yield pa.RecordBatch.from_pylist([{"trie": t, "label": x, "a": n, "b": None} for t, x, n in ends], schema)
+
+
 def candidate_edges(nodes: DataFrame, depth: int) -> DataFrame:
-    """Stars (a, b) that join the nodes which share a prefix of any trie."""
-    each = nodes.select("node", F.posexplode("labels").alias("trie", "label"))
-    each = each.select("node", "trie", F.substring("label", 1, 2 * depth).alias("prefix"))
-    shared = each.groupBy("trie", "prefix").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return each.join(shared, ["trie", "prefix"]).where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    """(a, b) of nodes that are neighbours in a sorted trie and share its prefix of ``depth`` hashes.
+
+    Ranges of the sort are compared inside themselves; the two ends of each, a few rows for each
+    partition whatever the data, are compared with each other afterwards.
+    """
+    each = nodes.select("node", F.posexplode("labels").alias("trie", "label")).select("trie", "label", "node")
+    runs = each.repartitionByRange("trie", "label", "node").sortWithinPartitions("trie", "label", "node")
+    found = stored(runs.mapInArrow(lambda batches: neighbours(batches, depth), "trie int, label binary, a binary, b binary"), "neighbours")
+    order = Window.orderBy("trie", "label", "a")
+    ends = found.where("b IS NULL").select("trie", F.substring("label", 1, 2 * depth).alias("prefix"), "a", "label")
+    before = ends.withColumn("b", F.when((F.lag("trie").over(order) == F.col("trie")) & (F.lag("prefix").over(order) == F.col("prefix")), F.lag("a").over(order)))
+    return found.where("b IS NOT NULL").select("a", "b").unionAll(before.where("b IS NOT NULL").select("a", "b")).distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -241,11 +303,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first marks the one document of each class that stays when copies go: the smallest
     id, nulls last, then the smallest node. Rows alike in id and text are all marked.
     """
-    sketched = stored(sketches(docs, doc_id, text), "sketches")
-    nodes = sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"))
+    tries, depth = forest(threshold)
+    sketched = stored(sketches(docs, doc_id, text, tries), "sketches")
+    nodes = sketched.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
     nodes = stored(nodes, "nodes")
-    labelled = sketched.where("n_shingles > 0").select("node", "labels").dropDuplicates(["node"])
-    met = components(candidate_edges(labelled, prefix_depth(threshold)), "candidates")
+    met = components(candidate_edges(nodes.where("n_shingles > 0"), depth), "candidates")
+    nodes = nodes.drop("labels")
     members = met.join(nodes, "node")
     source = docs.select(F.col(doc_id).cast("long").alias("id"), node_of(text).alias("node"), F.col(text).alias("text"))
     links = stored(verified(source, members, threshold), "links")

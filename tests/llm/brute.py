@@ -47,6 +47,18 @@ def shingles(text: str | None) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
+def partition(nodes, edges) -> set[frozenset]:
+    """The components of ``nodes`` under ``edges``."""
+    group = {n: {n} for n in nodes}
+    for a, b in edges:
+        if group[a] is not group[b]:
+            small, large = sorted((group[a], group[b]), key=len)
+            large |= small
+            for n in small:
+                group[n] = large
+    return {frozenset(g) for g in group.values()}
+
+
 def jaccard_classes(rows: list[tuple]) -> dict[int, tuple]:
     """id -> (class, links) of rows (id, text) with unique ids."""
     sets = {i: shingles(t) for i, t in rows}

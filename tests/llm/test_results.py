@@ -40,7 +40,7 @@ def test_matches_oracle(spark, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_quality_rules_figures_and_verdicts(spark, texts):
@@ -108,8 +108,46 @@ def test_a_large_group_of_near_copies_is_verified_in_blocks(spark, monkeypatch):
 
 
 def test_prefixes_shorten_until_the_recall_is_met():
-    assert jaccard_join.prefix_depth(recall=0.5) > jaccard_join.prefix_depth(recall=0.9999)
-    assert 1 - (1 - 0.8 ** jaccard_join.prefix_depth()) ** jaccard_join.TRIES >= jaccard_join.RECALL
+    assert jaccard_join.forest(recall=0.5)[1] > jaccard_join.forest(recall=0.9999)[1]
+    for threshold in (0.95, 0.8, 0.5, 0.3, 0.1):
+        tries, depth = jaccard_join.forest(threshold)
+        assert jaccard_join.reached(threshold, depth, tries) >= jaccard_join.RECALL
+        assert depth == jaccard_join.DEPTH or jaccard_join.reached(threshold, depth + 1, tries) < jaccard_join.RECALL
+    assert jaccard_join.forest(0.3)[0] > jaccard_join.TRIES
+    with pytest.raises(ValueError, match="tries"):
+        jaccard_join.forest(0.01)
+
+
+def test_neighbours_are_linked_as_prefix_groups_are(spark):
+    """Chains of neighbours over many ranges join the same nodes as groups of equal prefixes do."""
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 3, (400, 3, jaccard_join.DEPTH)).astype(">u2")
+    rows = [(i.to_bytes(16), [x.tobytes() for x in label]) for i, label in enumerate(labels)]
+    nodes = spark.createDataFrame(rows, "node binary, labels array<binary>").repartition(7)
+    for depth in (jaccard_join.DEPTH, 4, 2):
+        edges = [(int.from_bytes(r["a"]), int.from_bytes(r["b"])) for r in jaccard_join.candidate_edges(nodes, depth).collect()]
+        assert all((labels[a, :, :depth] == labels[b, :, :depth]).all(axis=1).any() for a, b in edges)
+        groups = {}
+        for i, label in enumerate(labels):
+            for t in range(3):
+                groups.setdefault((t, label[t, :depth].tobytes()), []).append(i)
+        want = [(i, g[0]) for g in groups.values() for i in g[1:]]
+        assert brute.partition(range(400), edges) == brute.partition(range(400), want)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.3])
+def test_recall_of_links_at_a_threshold(spark, threshold):
+    """Pairs of texts at or just above the threshold, found as brute force finds them."""
+    rng = random.Random(11)
+    rows = []
+    for pair in range(150):
+        words = [f"w{pair}x{rng.randrange(10**6)}" for _ in range(60)]
+        other = words[: round(2 * threshold / (1 + threshold) * 56) + 5] + [f"v{pair}x{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other[:60]))]
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold).collect()}
+    sets = {i: brute.shingles(t) for i, t in rows}
+    want = {i: int(len(sets[i] & sets[i ^ 1]) >= threshold * len(sets[i] | sets[i ^ 1])) for i in sets}
+    assert sum(want.values()) > 250 and got == want
 
 
 @pytest.mark.parametrize(
