@@ -2,7 +2,7 @@
 
 A text's features are the indicators of its hashed word and word-pair n-grams. Words are
 runs of letters and digits, and runs of other signs count as words too, so that signs
-glued to words are seen; pairs of one and the same word share features of their own. Each indicator is scaled by its class log-count ratio, and a
+glued to words are seen. Each indicator is scaled by its class log-count ratio, and a
 linear hinge-loss model is fitted on the scaled indicators by dual coordinate descent.
 Margins become probabilities through a logistic curve over rows kept out of the fit.
 
@@ -10,7 +10,8 @@ The model is fitted on at most ``sample`` labelled rows (about, chosen by a hash
 id), as sets of features made by Spark tasks; the size of the model doesn't depend on
 the data. Scoring reads every whole text once and shuffles nothing.
 
-Nulls and empty texts have no features and get the score of the intercept. Rows without
+Nulls and empty texts have no features and get the score of the intercept. A very long text is read
+whole by one task and has at most 2^BITS features. Rows without
 a label, or with a label other than 0 and 1, aren't learnt from. With labels of one class
 only, or none, the score is that class's share (one half without any). Repeated rows are
 scored one by one; several labels of an id count as several rows. Extra columns aren't read.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TokenHasher, bounded_sample, fold, map_texts, mix, platt, sigmoid, table
+from .common import TokenHasher, bounded_sample, fold, map_texts, platt, sigmoid, table
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 BITS = 18
@@ -34,8 +35,6 @@ BITS = 18
 SAMPLE = 6000
 FOLDS = 5
 THRESHOLD = 0.3
-#: Features of pairs of the same word, whatever the word: any, and each further twentieth of the words.
-SAME = np.array([mix(0xA11CE + i) & ((1 << BITS) - 1) for i in range(21)], np.uint64)
 
 
 def features(text: str | None, hashes: TokenHasher) -> np.ndarray:
@@ -43,9 +42,7 @@ def features(text: str | None, hashes: TokenHasher) -> np.ndarray:
     ids = hashes.array(TOKEN.findall(text)) if text else np.zeros(0, np.uint64)
     pairs = (ids[:-1] * np.uint64(0x9E3779B97F4A7C15) + ids[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS)
     seen = np.zeros(1 << BITS, bool) if len(ids) > 20_000 else None
-    alike = int((ids[:-1] == ids[1:]).sum())
-    echoes = SAME[: 0 if not alike else 1 + 20 * alike // len(ids)]
-    both = np.concatenate([ids & np.uint64((1 << BITS) - 1), pairs, echoes]).astype(np.int32)
+    both = np.concatenate([ids & np.uint64((1 << BITS) - 1), pairs]).astype(np.int32)
     if seen is None:
         return np.unique(both)
     seen[both] = True
