@@ -107,10 +107,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40.0, 40.0)))
 
 
-def platt(margin: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of P(label = 1) over margins, by Newton steps with a small ridge."""
-    n1 = float(label.sum())
-    n0 = float(len(label) - n1)
+def platt(margin: np.ndarray, label: np.ndarray, rows: np.ndarray | None = None, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept of P(label = 1) over margins, by Newton steps with a small ridge; ``rows`` tells how many rows each stands for."""
+    rows = np.ones(len(label)) if rows is None else rows
+    n1 = float((rows * label).sum())
+    n0 = float(rows.sum() - n1)
     if n0 == 0 or n1 == 0:
         return 1.0, float(np.log((n1 + 1) / (n0 + 1)))
     target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -118,8 +119,8 @@ def platt(margin: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float
     w = np.array([1.0, np.log((n1 + 1) / (n0 + 1))])
     for _ in range(steps):
         p = sigmoid(x @ w)
-        gradient = x.T @ (p - target) + 1e-3 * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        gradient = x.T @ (rows * (p - target)) + 1e-3 * w
+        hessian = (x * (rows * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-7:
