@@ -25,6 +25,8 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -45,6 +47,8 @@ FILTERS = 8  # of each width
 #: Labelled rows that learn in one task, about; the whole table learns in as many as it takes.
 SHARD = 8000
 ROUNDS = 5
+#: Numbers of a network in one record, and tasks that add the records of all shards, at most.
+PIECE, ADDING = 8192, 64
 #: Steps of the logits that calibration tells apart, per unit; larger logits than LIMIT count as LIMIT.
 GRID, LIMIT = 500, 60
 FOLDS = 4
@@ -231,34 +235,61 @@ def constant_network(ones: int, n: int) -> Network:
 
 
 def _unpacked(rows) -> tuple[list[np.ndarray], np.ndarray]:
-    return [np.frombuffer(r["__x"], np.uint16).reshape(-1, 3).astype(np.int32) for r in rows], np.array([r["__y"] for r in rows], dtype=int)
+    """Tokens, as they lie in the rows, and labels."""
+    return [np.frombuffer(r["__x"], np.uint16).reshape(-1, 3) for r in rows], np.array([r["__y"] for r in rows], dtype=int)
 
 
-def _averaged(a: tuple, b: tuple) -> tuple:
-    """Sums of the parameters, and of the sums of squares, of two groups of shards."""
-    return tuple([p + q for p, q in zip(x, y, strict=True)] if isinstance(x, list) else x + y for x, y in zip(a, b, strict=True))
+def _arrays(net: Network, sums: dict) -> list[np.ndarray]:
+    """The parameters and the sums of squares, all but those of the intercept."""
+    return [net.embedding, *net.filters, net.bias, net.output, sums["e"], *sums["f"], sums["b"], sums["o"]]
+
+
+def parts(net: Network, sums: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """What a shard learnt as numbered pieces of at most ``PIECE`` numbers; number 0 has the intercept's two."""
+    yield 0, np.array([net.intercept, sums["i"]])
+    flat = np.concatenate([x.ravel() for x in _arrays(net, sums)])
+    for at in range(0, len(flat), PIECE):
+        yield at // PIECE + 1, flat[at : at + PIECE]
+
+
+def put_together(net: Network, sums: dict, pieces: dict[int, np.ndarray]) -> None:
+    """``net`` and ``sums`` take the averages of all shards."""
+    net.intercept, sums["i"] = float(pieces[0][0]), pieces[0][1]
+    flat, at = np.concatenate([pieces[k] for k in range(1, len(pieces))]), 0
+    for x in _arrays(net, sums):
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
 
 
 def learn_shards(learnt: RDD, net: Network, share: list[float]) -> None:
-    """Rounds in which every shard (a list of rows, in order of tokens) learns from the common network; then the average."""
+    """Rounds in which every shard (its rows, together and in order of tokens) learns from the common network; then the average.
+
+    What the shards learnt is added piece by piece, in many tasks, so that a record is small and the driver
+    gets one network a round, however many shards there are.
+    """
     sums = first_sums(net)
+    tasks = min(learnt.getNumPartitions(), ADDING)
     for round_ in range(ROUNDS):
         state = learnt.context.broadcast((net, sums))
 
-        def one(shards, round_=round_, state=state):
-            for rows in shards:
+        def one(rows, round_=round_, state=state):
+            for _, group in groupby(rows, key=lambda r: r["__shard"]):
                 own, squares = pickle.loads(pickle.dumps(state.value))
-                docs, label = _unpacked(rows)
-                learn(own, docs, label, 1, seed=5 + round_, sums=squares, share=share)
-                # Added as doubles, so that the order of the shards doesn't show in the single precision of the average.
-                values = [own.embedding, own.filters, own.bias, own.output, own.intercept, *[squares[k] for k in "efboi"]]
-                yield (1, *[[x.astype(float) for x in v] if isinstance(v, list) else np.float64(v) for v in values])
+                learn(own, *_unpacked(list(group)), 1, seed=5 + round_, sums=squares, share=share)
+                yield from parts(own, squares)
+
+        def added(pieces):
+            # Added as doubles, so that the order of the shards doesn't show in the single precision of the average.
+            totals, shards = {}, Counter()
+            for k, x in pieces:
+                totals[k] = totals.get(k, 0.0) + x.astype(float)
+                shards[k] += 1
+            for k, total in totals.items():
+                yield k, (total / shards[k]).astype(np.float32)
 
-        n, *parts = learnt.mapPartitions(one).treeReduce(_averaged, depth=3)
-        e, f, b, o, i, *new = [[np.float32(x / n) for x in v] if isinstance(v, list) else np.float32(v / n) for v in parts]
-        net.embedding, net.filters, net.bias, net.output, net.intercept = e, f, b, o, float(i)
-        sums = dict(zip("efboi", new, strict=True))
-        state.unpersist()
+        averages = learnt.mapPartitions(one).partitionBy(tasks).mapPartitions(added)
+        put_together(net, sums, dict(averages.collect()))
+        state.destroy()
 
 
 def calibrate(net: Network, out: DataFrame, rare: float = 1.0, least: int = 20) -> None:
@@ -271,14 +302,16 @@ def calibrate(net: Network, out: DataFrame, rare: float = 1.0, least: int = 20)
 
     def judged(batches):
         for batch in batches:
-            rows = batch.select(["__x", "__k", "__y"]).to_pylist()
+            rows = batch.select(["__x", "__y"]).to_pylist()
             logits = np.array([shared.value.logit(ids) for ids in _unpacked(rows)[0]])
             step = np.rint(np.clip(logits, -LIMIT, LIMIT) * GRID).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(step), batch.column("__k"), batch.column("__y")], names=["step", "k", "y"])
 
-    found = out.mapInArrow(judged, "step int, k int, y int").groupBy("step", "k", "y").count().orderBy("step", "k", "y").collect()
-    logits = np.array([r["step"] / GRID for r in found])
-    language, y, n = (np.array([r[c] for r in found]) for c in ("k", "y", "count"))
+    found = out.mapInArrow(judged, "step int, k int, y int").groupBy("step", "k", "y").count().toArrow()
+    shared.destroy()
+    found = found.sort_by([(c, "ascending") for c in ("step", "k", "y")])
+    step, language, y, n = (found.column(c).to_numpy() for c in ("step", "k", "y", "count"))
+    logits = step / GRID
     net.slope = platt(logits, y, n)[0]
     weight = np.where(y == 1, rare, 1.0) * n
     net.thresholds[:] = best_threshold(logits, y, weight)
@@ -325,22 +358,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, text: str
         yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[y, at].astype(np.int64))], names=["y", "at", "n"])
 
     counts = np.zeros((2, 1 << BITS))
-    for r in learnt.mapInArrow(buckets, "y int, at int, n long").groupBy("y", "at").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["y"], r["at"]] = r["n"]
+    found = learnt.mapInArrow(buckets, "y int, at int, n long").groupBy("y", "at").agg(F.sum("n").alias("n")).toArrow()
+    y, at, n = (found.column(c).to_numpy() for c in ("y", "at", "n"))
+    counts[y, at] = n
     net = network_of(counts, of[1] / total)
     shards = -(-total // SHARD)
     keyed = learnt.select(F.pmod("__deal", F.lit(shards)).alias("__shard"), "__x", "__k", "__y")
     sorted_rows = keyed.repartition(shards, "__shard").sortWithinPartitions("__shard", "__x", "__k", "__y")
-
-    def grouped(rows):
-        for _, group in groupby(rows, key=lambda r: r["__shard"]):
-            yield [{"__x": bytes(r["__x"]), "__y": r["__y"]} for r in group]
-
-    groups = sorted_rows.rdd.mapPartitions(grouped).persist(StorageLevel.DISK_ONLY)
+    dealt_rows = sorted_rows.rdd.persist(StorageLevel.DISK_ONLY)
     try:
-        learn_shards(groups, net, [total / (2 * max(1, k)) for k in of])
+        learn_shards(dealt_rows, net, [total / (2 * max(1, k)) for k in of])
     finally:
-        groups.unpersist()
+        dealt_rows.unpersist()
     calibrate(net, out)
     return net
 
