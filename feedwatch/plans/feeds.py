@@ -342,12 +342,21 @@ def _ticks_sql() -> str:
 
 
 _STREAMS: dict[tuple[str, str], PostStore] = {}
+#: Micro-batches at most: a log of many poll rounds lands several rounds at a time.
+LANDINGS = 8
+
+
+def _landings(rounds: list) -> list[list]:
+    """Rounds in order, in ``LANDINGS`` groups at most."""
+    n = min(len(rounds), LANDINGS)
+    return [rounds[len(rounds) * k // n : len(rounds) * (k + 1) // n] for k in range(n)]
 
 
 def _streamed(spark, sf_dir) -> PostStore:
-    """Land the listing poll round by poll round and run the stream after each.
+    """Land the listing poll round by poll round, or a few rounds together, and run the stream after each landing.
 
-    How a round's rows lie in files, and which files make up a micro-batch, doesn't matter.
+    A micro-batch has a cost of its own, whatever its rows, so their number has a bound that doesn't grow with the
+    time the log spans. How a round's rows lie in files, and which files make up a micro-batch, doesn't matter.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _STREAMS:
@@ -362,8 +371,8 @@ def _streamed(spark, sf_dir) -> PostStore:
     listing.write.partitionBy("poll_id").parquet(staged)
     staged_rows = spark.read.schema(LISTING).parquet(staged)
     rounds = staged_rows.select("poll_id").distinct().orderBy("poll_id").collect()
-    for (poll_round,) in rounds:
-        landed = staged_rows.where(F.col("poll_id") == poll_round)
+    for landing_rounds in _landings([r["poll_id"] for r in rounds]):
+        landed = staged_rows.where(F.col("poll_id").isin(landing_rounds))
         landed.select(*LISTING.fieldNames()).write.mode("append").parquet(landing)
         stream = tables.stream_listing(spark, landing, files_per_trigger=1_000_000)
         start_ingest(store, stream, metadata, polled_at=_clock).awaitTermination()
