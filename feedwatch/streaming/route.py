@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import routing
 from ..operators.sites import SiteModel
+from ..sources.tables import write_batch
 
 
 def stream_messages(
@@ -68,12 +69,19 @@ def start_classifier(
 ) -> StreamingQuery:
     """Posts as a stream (with set_notify and skip_write) scored by a fitted model and routed.
 
-    The model's stages run in the stream's own plan: no table of scores is read or joined.
+    The stages of a vector model run in the stream's own plan: no table of scores is read or joined. A model kept as a
+    table scores each micro-batch, and ``out/batch=n`` has what micro-batch n sent.
     """
-    scored = model.score(routing.to_classify(posts))
+    kept = ["site", "post_id", "url", "set_notify", "skip_write", "score", "classify_error"]
+
+    def routed(some: DataFrame) -> DataFrame:
+        return routing.route(model.score(routing.to_classify(some)), threshold).select(*kept)
+
+    if getattr(model, "table", None) is not None:
+        stream = posts.writeStream.foreachBatch(lambda batch, batch_id: write_batch(routed(batch), out, batch_id))
+        return stream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     return (
-        routing.route(scored, threshold)
-        .select("site", "post_id", "url", "set_notify", "skip_write", "score", "classify_error")
+        routed(posts)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", out)
